@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from foliodex.llm import bpe, queries, repetition
+from foliodex.llm import bpe, decontamination, near_dedup, queries, repetition, substring_dedup
 from foliodex.llm.common import stored, table
 
 
@@ -14,12 +15,38 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(verdicts, "doc_id", "left_semi")
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the smallest id."""
+    verdicts = near_dedup.near_duplicates(docs, words=5, percent=80).where("kept").select("doc_id")
+    return docs.join(verdicts, "doc_id", "left_semi")
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts less the passages that another document has; a text of which nothing is left goes."""
+    columns = docs.columns
+    done = substring_dedup.dedup_substrings(docs)
+    left = done.where("removed_bytes = 0 or length(trim(text)) > 0").select(columns)
+    return left.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in columns else left
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that benchmark passages do not contaminate."""
+    verdicts = decontamination.contamination(docs, table(spark, sf_dir, "benchmark")).where("not contaminated").select("doc_id")
+    return docs.join(verdicts, "doc_id", "left_semi")
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what is left."""
     return bpe.encode_decode(docs, queries.vocabulary())
 
 
-STAGES = [("quality rules", quality), ("bpe", encode)]
+STAGES = [
+    ("quality rules", quality),
+    ("minhash near-dedup", near_copies),
+    ("substring dedup", substrings),
+    ("benchmark decontamination", decontaminate),
+    ("bpe", encode),
+]
 
 ORACLE_SQL = None
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, repetition, sharding, token_files
+from . import bpe, decontamination, near_dedup, repetition, sharding, substring_dedup, token_files
 from .common import scratch, table
 
 
@@ -26,6 +26,19 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_chunks", "n_repeated_chunks", "n_bytes", "removed_bytes", (done.removed_bytes > 0).alias("has_repeat"), "text")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "tokens")
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, vocabulary())
@@ -36,6 +49,9 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op4_sharding": op4_sharding,
     "op5_bpe": op5_bpe,
+    "op6_minhash": op6_minhash,
+    "op7_decontamination": op7_decontamination,
+    "op8_substring_dedup": op8_substring_dedup,
     "op10_token_files": op10_token_files,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_decontamination": decontamination.ORACLE_SQL}
