@@ -1,8 +1,8 @@
 """Operator 5, BPE encoding and decoding by a table of distinct words.
 
 Texts are split into words by the tokenizer's own pattern. Each slice of rows keeps a table of
-distinct words: a word is encoded once, the words' positions are joined to the table to give the
-ids, and ids are joined to the table of pieces (one byte string an id) to give the text back. The
+distinct words: a word is encoded once, its ids are joined to the table of pieces (one byte string an
+id), and the words' positions are joined to the table to give the ids of a text, and its decoded text, in order. The
 table lives in the Python worker and holds at most `max_words` words; it is then begun anew,
 so memory is bounded whatever the vocabulary of the corpus. It is per worker, not global: a
 shuffled join of every (document, position, word) would write several times the input, see the README.
@@ -16,7 +16,9 @@ from __future__ import annotations
 
 import hashlib
 import os
+from array import array
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -57,7 +59,17 @@ class WordTable:
         self.begin()
 
     def begin(self) -> None:
-        self.ids: dict[str, tuple[int, ...]] = {t: (k,) for t, k in self.special.items()}
+        # by word: its ids as little-endian bytes, as decimal text, and its pieces
+        self.ids: dict[str, bytes] = {}
+        self.listed: dict[str, str] = {}
+        self.spelled: dict[str, bytes] = {}
+        for word, k in self.special.items():
+            self._add(word, [k])
+
+    def _add(self, word: str, ids: list[int]) -> None:
+        self.ids[word] = array("i", ids).tobytes()
+        self.listed[word] = ",".join(map(str, ids))
+        self.spelled[word] = b"".join(map(self.pieces.__getitem__, ids))
 
     def words(self, text: str) -> list[str]:
         if self.cut is None or not any(x in text for x in self.special):
@@ -67,7 +79,8 @@ class WordTable:
             out += [part] if part in self.special else self.split(part)
         return out
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def split_all(self, texts: list[str]) -> list[list[str]]:
+        """The words of each text, all of them in the table."""
         split = [self.words(t) for t in texts]
         new = {w for words in split for w in words if w not in self.ids}
         if len(self.ids) + len(new) > self.max_words:
@@ -77,11 +90,15 @@ class WordTable:
         for k in range(0, len(listed), 10_000):
             some = listed[k : k + 10_000]
             for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                self.ids[w] = tuple(e.ids)
-        at = self.ids.__getitem__
-        return [[k for word in map(at, words) for k in word] for words in split]
+                self._add(w, e.ids)
+        return split
 
-    def decode(self, ids: list[int]) -> str:
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit integers."""
+        return [b"".join(map(self.ids.__getitem__, words)) for words in self.split_all(texts)]
+
+    def decode(self, ids) -> str:
+        """The text of any ids."""
         return b"".join(map(self.pieces.__getitem__, ids)).decode("utf-8", "replace")
 
 
@@ -95,7 +112,7 @@ def word_table(path: str, max_words: int = 200_000) -> WordTable:
     return _tables[path, max_words]
 
 
-def encode_decode(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+def encode_decode(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Per row: id, n_tokens, ids_sha256, decoded_sha256, and with_ids also ids and decoded.
 
     vocabulary: the path of a byte-level BPE file of the tokenizers library, readable on each executor.
@@ -107,14 +124,14 @@ def encode_decode(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", t
         for whole in batches:
             for batch in pieces_of(whole, text_col):
                 counts, digests, back, all_ids, texts = [], [], [], [], []
-                ids_of = words.encode([t or "" for t in batch.column(text_col).to_pylist()])
-                for ids in ids_of:
-                    text = words.decode(ids)
-                    counts.append(len(ids))
-                    digests.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+                for split in words.split_all([t or "" for t in batch.column(text_col).to_pylist()]):
+                    raw = b"".join(map(words.ids.__getitem__, split))
+                    text = b"".join(map(words.spelled.__getitem__, split)).decode("utf-8", "replace")
+                    counts.append(len(raw) // 4)
+                    digests.append(hashlib.sha256(",".join(map(words.listed.__getitem__, split)).encode()).hexdigest())
                     back.append(hashlib.sha256(text.encode("utf-8")).hexdigest())
                     if with_ids:
-                        all_ids.append(ids)
+                        all_ids.append(np.frombuffer(raw, np.int32))
                         texts.append(text)
                 columns = [batch.column(id_col), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(back, pa.string())]
                 names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]

@@ -32,10 +32,11 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, *, id_col: st
         words, before = word_table(vocabulary), 0
         for whole in batches:
             for batch in pieces_of(whole, text_col):
-                lists = [[*ids, end_id] for ids in words.encode([t or "" for t in batch.column(text_col).to_pylist()])]
-                counts = np.fromiter(map(len, lists), np.int64, len(lists))
+                end = int(end_id).to_bytes(4, "little", signed=True)
+                raw = [ids + end for ids in words.encode([t or "" for t in batch.column(text_col).to_pylist()])]
+                counts = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
                 ends = before + np.cumsum(counts)
-                flat = np.fromiter((k for ids in lists for k in ids), np.int32, int(counts.sum()))
+                flat = np.frombuffer(b"".join(raw), np.int32)
                 offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(ends - counts), pa.array(counts), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "local_start", "n_tokens", "ids"])
                 before = int(ends[-1])
