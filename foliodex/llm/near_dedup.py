@@ -11,7 +11,8 @@ A bucket of m members never yields its m * m pairs: each member is held against
 pivot (another one in each band), components are made of the confirmed links, and only members that are
 still outside their bucket's largest component are compared, in blocks, with the members of other
 components. Thus a link is only left out between documents that are connected already. Two sets at the limit
-of 0.8 share no band with probability 3e-6, and fall below the estimate's limit of 0.58 about as rarely.
+of 0.8 share no band with probability 3e-6, and fall below the estimates' limits (0.58 by 96 hashes, 0.72 by the 512
+of the block comparisons) about as rarely.
 
 Cases: a null text, and one without words, has an empty set and is linked with nothing; fewer
 words than n make one shingle of them all; a null id takes part in nothing and gets a null component; rows that
@@ -29,7 +30,10 @@ from .common import ASCII_LOWER, pieces_of, stored
 from .components import components
 
 HASHES, BANDS, ROWS = 96, 24, 4
-BLOCK = 256
+#: Hashes of the longer signatures by which members of mixed buckets are compared, and members a block.
+LONG, BLOCK = 512, 256
+#: So many ids are sent to every task to pick their texts; more of them meet the texts by a shuffle.
+MOST_IDS = 2_000_000
 
 
 class _Hashes(dict):
@@ -63,28 +67,28 @@ def shingle_set(text: str | None, n: int) -> np.ndarray:
     return np.unique(x)
 
 
-def _coefficients() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(20240601)
-    return rng.integers(0, 2**32, HASHES, np.uint32)[:, None] | np.uint32(1), rng.integers(0, 2**32, HASHES, np.uint32)[:, None]
+def _coefficients(hashes: int = HASHES) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(20240601 + hashes)
+    return rng.integers(0, 2**32, hashes, np.uint32)[:, None] | np.uint32(1), rng.integers(0, 2**32, hashes, np.uint32)[:, None]
 
 
 def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The low 8 bits of each of HASHES minima."""
+    """The low 8 bits of the minimum under each hash."""
     x = ((shingles >> np.uint64(32)) ^ shingles).astype(np.uint32)
-    low = np.full(HASHES, 0xFFFFFFFF, np.uint32)
+    low = np.full(len(a), 0xFFFFFFFF, np.uint32)
     for k in range(0, len(x), 2048):
         np.minimum(low, (x[k : k + 2048] * a + b).min(axis=1), out=low)
     return low.astype(np.uint8)
 
 
 def estimate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Similarity of packed signatures (rows of 12 uint64), corrected for chance agreement of bytes."""
+    """Similarity of packed signatures (rows of uint64, 8 hashes each), corrected for chance agreement of bytes."""
     d = x ^ y
     d |= d >> np.uint64(4)
     d |= d >> np.uint64(2)
     d |= d >> np.uint64(1)
     differing = np.bitwise_count(d & np.uint64(0x0101010101010101)).sum(axis=-1)
-    agree = 1 - differing / HASHES
+    agree = 1 - differing / (8 * x.shape[-1])
     return (agree - 1 / 256) / (1 - 1 / 256)
 
 
@@ -119,8 +123,22 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame
     return slim.mapInArrow(run, "doc_id long, n_shingles long, hi long, lo long, sig binary, bands array<long>")
 
 
-def _rows(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, HASHES // 8)
+def _rows(values: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(values), "<u8").reshape(len(values), -1)
+
+
+def _of_texts(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, make, name: str) -> DataFrame:
+    """(doc_id, name binary): make(shingle set) of the documents that ids (doc_id, distinct) names, and of no others."""
+    if ids.count() <= MOST_IDS:
+        ids = F.broadcast(ids)
+    slim = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+
+    def run(batches):
+        for whole in batches:
+            for x in pieces_of(whole, "text"):
+                yield pa.RecordBatch.from_arrays([x.column("doc_id"), pa.array([make(shingle_set(t, n)) for t in x.column("text").to_pylist()], pa.binary())], ["doc_id", name])
+
+    return slim.join(ids, "doc_id", "left_semi").mapInArrow(run, f"doc_id long, {name} binary").dropDuplicates(["doc_id"])
 
 
 def _likely(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
@@ -129,7 +147,7 @@ def _likely(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
     def run(batches):
         for x in batches:
             if x.num_rows:
-                est = estimate(_rows(x.column("sig_a")), _rows(x.column("sig_b")))
+                est = estimate(_rows(x.column("sig_a").to_pylist()), _rows(x.column("sig_b").to_pylist()))
                 yield x.select(["a", "b"]).filter(pa.array(est >= least))
 
     sig = sigs.select("doc_id", "sig")
@@ -143,15 +161,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, n:
     Sets are made of the texts of the documents that a pair names, and of no others. A pair's a side is
     its smaller id, so the sets of one a side travel once for each part of at most a few hundred pairs.
     """
-    named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-
-    def sets(batches):
-        for whole in batches:
-            for x in pieces_of(whole, "text"):
-                yield pa.RecordBatch.from_arrays([x.column("doc_id"), pa.array([shingle_set(t, n).tobytes() for t in x.column("text").to_pylist()], pa.binary())], ["doc_id", "shingles"])
-
-    known = stored(texts.mapInArrow(sets, "doc_id long, shingles binary"), "sets")
+    named = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "named")
+    known = stored(_of_texts(named, docs, id_col, text_col, n, np.ndarray.tobytes, "shingles"), "sets")
     both = pairs.join(known.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a").join(known.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b")
 
     def run(batches):
@@ -166,17 +177,21 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, n:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _left_over(banded: DataFrame, labels: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
+def _left_over(banded: DataFrame, labels: DataFrame, sigs: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, least: float) -> DataFrame:
     """Likely pairs of members of a bucket of three or more that are in different components.
 
-    Members outside their bucket's largest component are held against all members, block by block.
+    Members outside their bucket's largest component are held against all members, block by block, by longer signatures; a
+    pair comes out of the first band that it shares, once.
     """
     named = banded.join(labels, banded.doc_id == labels.id, "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     mixed = named.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x <> y and m > 2")
     inside = named.join(mixed.select("band", "m"), "band")
     most = inside.groupBy("band", "component").count().groupBy("band").agg(F.max(F.struct("count", "component")).alias("most")).select("band", F.col("most.component").alias("largest"))
-    full = stored(inside.join(most, "band").join(sigs.select("doc_id", "sig"), "doc_id"), "buckets")
-    item = F.struct("doc_id", "component", "sig")
+    inside = stored(inside.join(most, "band"), "inside")
+    a, b = _coefficients(LONG)
+    long = stored(_of_texts(stored(inside.select("doc_id").distinct(), "members"), docs, id_col, text_col, n, lambda s: signature(s, a, b).tobytes(), "long"), "long")
+    full = stored(inside.join(sigs.select("doc_id", "sig"), "doc_id").join(long, "doc_id"), "buckets")
+    item = F.struct("doc_id", "component", "sig", "long")
     asked = full.where("component <> largest")
     asked = asked.join(asked.groupBy("band").agg(F.count("*").alias("u")), "band")
     part = lambda size: F.pmod(F.xxhash64("doc_id"), F.ceil(F.col(size) / BLOCK))
@@ -185,24 +200,30 @@ def _left_over(banded: DataFrame, labels: DataFrame, sigs: DataFrame, least: flo
 
     def run(batches):
         def side(items):
-            return [np.array([x[k] for x in items], np.int64) for k in ("doc_id", "component")] + [np.frombuffer(b"".join(x["sig"] for x in items), "<u8").reshape(-1, HASHES // 8)]
+            ids, kinds = (np.array([x[k] for x in items], np.int64) for k in ("doc_id", "component"))
+            return ids, kinds, _rows([x["sig"] for x in items]).view("<u4"), _rows([x["long"] for x in items])
 
         for x in batches:
-            a, b = [], []
             for k in range(x.num_rows):
-                (qi, qc, qs), (ri, rc, rs) = side(x.column("q")[k].as_py()), side(x.column("r")[k].as_py())
+                first = x.column("band")[k].as_py() >> 32
+                (qi, qc, qs, ql), (ri, rc, rs, rl) = side(x.column("q")[k].as_py()), side(x.column("r")[k].as_py())
+                low, high = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
                 for i in range(len(qi)):
-                    near = (estimate(qs[i], rs) >= least) & (rc != qc[i])
-                    a.append(np.minimum(qi[i], ri[near]))
-                    b.append(np.maximum(qi[i], ri[near]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *z])) for z in (a, b)], ["a", "b"])
+                    near = np.flatnonzero((rc != qc[i]) & (estimate(ql[i], rl) >= least))
+                    near = near[(rs[near] == qs[i]).argmax(axis=1) == first]
+                    low.append(np.minimum(qi[i], ri[near]))
+                    high.append(np.maximum(qi[i], ri[near]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in (low, high)], ["a", "b"])
 
     return q.join(m, "band").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """Per row of docs: id, n_shingles, component_id, kept (the smallest id of its component)."""
-    least = percent / 100 - 0.22
+    # some five standard deviations of the estimates below the limit
+    limit = percent / 100
+    spread = max(limit * (1 - limit), 0.09) ** 0.5
+    least, least_long = limit - 5.4 * spread / HASHES**0.5, limit - 4.5 * spread / LONG**0.5
     sigs = stored(signatures(docs, id_col, text_col, words), "signatures")
     able = sigs.where("n_shingles > 0 and doc_id is not null")
     classes = able.groupBy("hi", "lo").agg(F.min("doc_id").alias("head"))
@@ -211,10 +232,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     banded = firsts.select("doc_id", F.explode("bands").alias("band"))
     pivots = banded.groupBy("band").agg(F.min(F.struct(F.xxhash64("doc_id", "band").alias("h"), "doc_id")).alias("p"), F.count("*").alias("m")).where("m > 1").select("band", F.col("p.doc_id").alias("pivot"))
     shared = stored(banded.join(pivots, "band"), "shared")
-    pairs = shared.where("doc_id <> pivot").select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct()
+    pairs = stored(shared.where("doc_id <> pivot").select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct(), "pairs")
     links = stored(confirmed(stored(_likely(pairs, firsts, least), "likely"), docs, id_col, text_col, words, percent), "links")
     labels = components(links)
-    rest = stored(_left_over(shared.select("band", "doc_id"), labels, firsts, least), "rest")
+    rest = _left_over(shared.select("band", "doc_id"), labels, firsts, docs, id_col, text_col, words, least_long)
+    rest = stored(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         more = stored(confirmed(rest, docs, id_col, text_col, words, percent), "links")
         labels = components(links.unionByName(more))
@@ -224,3 +246,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
     return out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", (F.col("component_id").eqNullSafe(F.col("doc_id"))).alias("kept"))
+
+
+#: What op6 returns, for two-word shingles: all pairs that share a shingle, then everything reachable.
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM w),
+e AS (SELECT doc_id, unnest(s) AS g FROM s),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM e x JOIN e y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN s sa ON sa.doc_id = a JOIN s sb ON sb.doc_id = b WHERE 100 * k >= 80 * (len(sa.s) + len(sb.s) - k)),
+pairs AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(id, c) AS (SELECT doc_id, doc_id FROM s UNION SELECT pairs.b, r.c FROM r JOIN pairs ON pairs.a = r.id)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.c) AS component_id, min(r.c) = s.doc_id AS kept FROM s JOIN r ON r.id = s.doc_id GROUP BY s.doc_id, len(s.s)
+"""
