@@ -59,9 +59,10 @@ def term_counts(postings: DataFrame) -> DataFrame:
 
 def anchors(items: DataFrame, freq: DataFrame, window: int, rarest: int = 2) -> DataFrame:
     """item_id, ip, term, need: the positions of the rarest terms of each window of each item."""
-    spans = items.select("item_id", "item_words", F.least(F.lit(window), "len").alias("w"), F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("len") - window))).alias("s"))
-    each = spans.select("item_id", "s", "w", F.explode(F.expr("transform(sequence(s, s + w - 1), i -> struct(i as ip, item_words[i] as term))")).alias("x")).select("item_id", "s", "w", "x.*")
-    counted = each.join(freq, "term", "left").withColumn("freq", F.coalesce("freq", F.lit(0)))
+    places = items.select("item_id", "len", F.least(F.lit(window), "len").alias("w"), F.posexplode("item_words").alias("ip", "term"))
+    known = places.join(freq, "term", "left").withColumn("freq", F.coalesce("freq", F.lit(0)))
+    # the windows that a position lies in
+    counted = known.withColumn("s", F.explode(F.expr("sequence(greatest(0, ip - w + 1), least(ip, len - w))")))
     ranked = counted.withColumn("k", F.row_number().over(Window.partitionBy("item_id", "s").orderBy("freq", "ip")))
     return stored(ranked.where(F.col("k") <= rarest).select("item_id", "ip", "term", F.least(F.lit(rarest), "w").alias("need")).distinct(), "anchors")
 
