@@ -335,3 +335,12 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
                 )
 
     return rows.join(wrappers, "host", "left").select(id_col, url_col, "html", "wrapper").mapInArrow(run, f"`{id_col}` long, `{url_col}` string, text string, n_chars long, matched boolean")
+
+
+#: The driver's pages have one kind of article, for which SQL can say what is to come out.
+ORACLE_SQL = r"""
+WITH a AS (SELECT page_id, url, list_transform(regexp_split_to_array(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1|br)>'), lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]+>', '', 'g'), '\s+', ' ', 'g'))) AS b FROM pages),
+t AS (SELECT page_id, url, array_to_string(list_filter(b, lambda x: x <> ''), chr(10)) AS t FROM a)
+SELECT page_id, url, replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS text,
+  length(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&')) AS n_chars, TRUE AS matched FROM t
+"""

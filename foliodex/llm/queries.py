@@ -70,4 +70,9 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_token_files": op10_token_files,
 }
-ORACLE_SQL: dict[str, str] = {"op7_decontamination": decontamination.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc": warc.ORACLE_SQL,
+    "op3_html_wrappers": html_wrappers.ORACLE_SQL,
+    "op6_minhash": near_dedup.ORACLE_SQL,
+    "op7_decontamination": decontamination.ORACLE_SQL,
+}

@@ -219,3 +219,10 @@ def round_trip(pages: DataFrame, path: str, **options) -> DataFrame:
         F.expr("try_cast(split_part(record_id, ':', 1) AS BIGINT)").alias("page_id"), "url", "payload_bytes", "payload_digest", "record_type", F.expr("try_cast(split_part(refers_to, ':', 1) AS BIGINT)").alias("refers_to"),
         F.col("payload_digest").eqNullSafe(F.col("declared_digest")).alias("digest_ok"),
     )
+
+
+ORACLE_SQL = """
+WITH p AS (SELECT page_id, url, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages), f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY 1)
+SELECT page_id, url, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to, TRUE AS digest_ok
+FROM p LEFT JOIN f ON p.d = f.d
+"""
