@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import word_table
+from .bpe import encoding
 from .common import pieces_of
 
 FILE_SCHEMA = "doc_id long, local_start long, n_tokens long, ids array<int>"
@@ -29,14 +29,14 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, *, id_col: st
     """Write the token files of docs into the folder `path`."""
 
     def run(batches):
-        words, before = word_table(vocabulary), 0
+        engine, before = encoding(vocabulary), 0
         for whole in batches:
             for batch in pieces_of(whole, text_col):
-                end = int(end_id).to_bytes(4, "little", signed=True)
-                raw = [ids + end for ids in words.encode([t or "" for t in batch.column(text_col).to_pylist()])]
-                counts = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+                end = np.array([end_id], np.uint32)
+                raw = [np.concatenate((engine.encode_to_numpy(t or "", allowed_special="all"), end)) for t in batch.column(text_col).to_pylist()]
+                counts = np.fromiter(map(len, raw), np.int64, len(raw))
                 ends = before + np.cumsum(counts)
-                flat = np.frombuffer(b"".join(raw), np.int32)
+                flat = np.concatenate(raw).view(np.int32)
                 offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(ends - counts), pa.array(counts), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "local_start", "n_tokens", "ids"])
                 before = int(ends[-1])
