@@ -94,7 +94,7 @@ def summary(graded: DataFrame, by: list[str] | None = None) -> DataFrame:
 def ranking_metrics(ranked: DataFrame, queries: DataFrame, by: list[str], k: int = 10) -> DataFrame:
     """recall_5/10/20, mrr and ndcg of (by.., qid, rank, rel) over all of (by.., qid); questions without results count as zero.
 
-    The ideal order is that of the retrieved list, as reported by the engine that this one stands in for.
+    The ideal order is that of the retrieved list itself.
     """
     group = [*by, "qid"]
     gain = (F.pow(F.lit(2.0), F.col("rel")) - 1) / F.log2(F.col("rank") + 1)
