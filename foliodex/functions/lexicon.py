@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -227,11 +229,12 @@ GATE_STOP = sorted(set(GATE_STOP_WORDS.split()))
 
 
 def strings(values) -> Column:
-    """An array literal."""
-    values = list(values)
-    return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
+    """An array literal, made in one step (and folded to a constant) however long it is."""
+    return F.from_json(F.lit(json.dumps(list(values))), "array<string>")
 
 
-def concept_literal() -> Column:
-    """array<struct<id, statement, keywords>> in the lexicon's order."""
-    return F.array(*[F.struct(F.lit(a).alias("id"), F.lit(b).alias("statement"), strings(k).alias("keywords")) for a, b, k in CONCEPTS])
+def concept_literal(only: list[str] | None = None) -> Column:
+    """array<struct<id, statement, keywords>>: all concepts in the lexicon's order, or those named in theirs."""
+    known = {a: {"id": a, "statement": b, "keywords": k} for a, b, k in CONCEPTS}
+    rows = list(known.values()) if only is None else [known[x] for x in only]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<id: string, statement: string, keywords: array<string>>>")

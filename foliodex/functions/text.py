@@ -15,6 +15,8 @@ def any_in(text: Column, words) -> Column:
     if isinstance(words, Column):
         return F.exists(words, lambda w: text.contains(w))
     words = list(words)
+    if len(words) > 8:
+        return F.exists(lx.strings(words), lambda w: text.contains(w))
     out = text.contains(words[0])
     for w in words[1:]:
         out = out | text.contains(w)
@@ -42,20 +44,20 @@ def synonyms(query: Column) -> Column:
 def query_tokens(expanded: Column) -> Column:
     """Tokens of an expanded query without stop words (all of them if nothing else is left); repeats stay."""
     tokens = tokenize(expanded)
-    kept = F.filter(tokens, lambda t: ~t.isin(lx.QUERY_STOP))
+    kept = F.filter(tokens, lambda t: ~F.array_contains(lx.strings(lx.QUERY_STOP), t))
     return F.when(F.size(kept) > 0, kept).otherwise(tokens)
 
 
 def distinctive(text: Column, stop: list[str] | None = None) -> Column:
     """Terms of three letters or more that say what is sought, each once, in order."""
     bare = F.transform(tokenize(text), lambda t: strip_chars(t, "$.,%"))
-    return F.array_distinct(F.filter(bare, lambda t: (F.length(t) >= 3) & ~t.isin(stop or lx.RELEVANCE_STOP) & ~t.rlike("^[0-9]+$")))
+    return F.array_distinct(F.filter(bare, lambda t: (F.length(t) >= 3) & ~F.array_contains(lx.strings(stop or lx.RELEVANCE_STOP), t) & ~t.rlike("^[0-9]+$")))
 
 
 def gate_terms(text: Column) -> Column:
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({lx.TOKEN})"), 1)
     bare = F.transform(found, lambda t: strip_chars(t, "$.,%"))
-    return F.array_distinct(F.filter(bare, lambda t: (F.length(t) >= 3) & ~t.isin(lx.GATE_STOP) & ~t.rlike("^[0-9]+$")))
+    return F.array_distinct(F.filter(bare, lambda t: (F.length(t) >= 3) & ~F.array_contains(lx.strings(lx.GATE_STOP), t) & ~t.rlike("^[0-9]+$")))
 
 
 def identity_tokens(text: Column, least: int = 2) -> Column:

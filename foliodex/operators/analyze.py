@@ -26,7 +26,7 @@ def question_type(q: Column) -> Column:
     """The type of a lower-cased question: purpose first, then the first type with two markers, then the first with one."""
     strong, weak = F, F
     for name, words in lx.TYPES:
-        hits = sum((q.contains(w).cast("int") for w in words[1:]), q.contains(words[0]).cast("int"))
+        hits = F.size(F.filter(lx.strings(words), lambda w: q.contains(w)))
         strong = strong.when(hits >= 2, F.lit(name))
         weak = weak.when(hits >= 1, F.lit(name))
     purpose = tx.any_in(q, lx.parts(lx.PURPOSE_QUESTION)) & tx.any_in(q, lx.parts(lx.PURPOSE_FILING))
@@ -40,11 +40,9 @@ def concepts(q: Column) -> Column:
 
 def ratio(q: Column) -> Column:
     """The first derived ratio that a question names: (name, formula, concepts), or null."""
-    known = {a: (b, k) for a, b, k in lx.CONCEPTS}
     out = F
     for name, aliases, needs, formula in lx.RATIOS:
-        inputs = F.array(*[F.struct(F.lit(c).alias("id"), F.lit(known[c][0]).alias("statement"), lx.strings(known[c][1]).alias("keywords")) for c in needs])
-        out = out.when(tx.any_in(q, aliases), F.struct(F.lit(name).alias("name"), F.lit(formula).alias("formula"), inputs.alias("inputs")))
+        out = out.when(tx.any_in(q, aliases), F.struct(F.lit(name).alias("name"), F.lit(formula).alias("formula"), lx.concept_literal(needs).alias("inputs")))
     return out
 
 
