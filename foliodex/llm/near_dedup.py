@@ -11,8 +11,8 @@ A bucket of m members never yields its m * m pairs: each member is held against
 pivot (another one in each band), components are made of the confirmed links, and only members that are
 still outside their bucket's largest component are compared, in blocks, with the members of other
 components. Thus a link is only left out between documents that are connected already. Two sets at the limit
-of 0.8 share no band with probability 3e-6, and fall below the estimates' limits (0.58 by 96 hashes, 0.72 by the 512
-of the block comparisons) about as rarely.
+of 0.8 share no band with probability 3e-6, and fall below the estimates' limits (0.62 by 96 hashes of 8 bits, 0.77 by
+the 4096 of 2 bits of the block comparisons) about as rarely.
 
 Cases: a null text, and one without words, has an empty set and is linked with nothing; fewer
 words than n make one shingle of them all; a null id takes part in nothing and gets a null component; rows that
@@ -30,8 +30,8 @@ from .common import ASCII_LOWER, pieces_of, stored
 from .components import components
 
 HASHES, BANDS, ROWS = 96, 24, 4
-#: Hashes of the longer signatures by which members of mixed buckets are compared, and members a block.
-LONG, BLOCK = 512, 256
+#: Hashes and bits of the longer signatures by which members of mixed buckets are compared, and members a block.
+LONG, LONG_BITS, BLOCK = 4096, 2, 256
 #: So many ids are sent to every task to pick their texts; more of them meet the texts by a shuffle.
 MOST_IDS = 2_000_000
 
@@ -72,24 +72,34 @@ def _coefficients(hashes: int = HASHES) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 2**32, hashes, np.uint32)[:, None] | np.uint32(1), rng.integers(0, 2**32, hashes, np.uint32)[:, None]
 
 
-def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The low 8 bits of the minimum under each hash."""
+def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray, bits: int = 8) -> np.ndarray:
+    """The low bits of the minimum under each hash, packed (8 / bits hashes a byte)."""
     x = ((shingles >> np.uint64(32)) ^ shingles).astype(np.uint32)
     low = np.full(len(a), 0xFFFFFFFF, np.uint32)
-    for k in range(0, len(x), 2048):
-        np.minimum(low, (x[k : k + 2048] * a + b).min(axis=1), out=low)
-    return low.astype(np.uint8)
+    step = max(64, (1 << 18) // len(a))
+    for k in range(0, len(x), step):
+        np.minimum(low, (x[k : k + step] * a + b).min(axis=1), out=low)
+    part = (low & np.uint32((1 << bits) - 1)).astype(np.uint8).reshape(-1, 8 // bits)
+    return np.bitwise_or.reduce(part << (bits * np.arange(8 // bits, dtype=np.uint8)), axis=1)
 
 
-def estimate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Similarity of packed signatures (rows of uint64, 8 hashes each), corrected for chance agreement of bytes."""
+def estimate(x: np.ndarray, y: np.ndarray, bits: int = 8) -> np.ndarray:
+    """Similarity of packed signatures (rows of uint64), corrected for chance agreement of the bits kept."""
     d = x ^ y
-    d |= d >> np.uint64(4)
-    d |= d >> np.uint64(2)
-    d |= d >> np.uint64(1)
-    differing = np.bitwise_count(d & np.uint64(0x0101010101010101)).sum(axis=-1)
-    agree = 1 - differing / (8 * x.shape[-1])
-    return (agree - 1 / 256) / (1 - 1 / 256)
+    at = bits // 2
+    while at:
+        d |= d >> np.uint64(at)
+        at //= 2
+    lowest = np.uint64(sum(1 << k for k in range(0, 64, bits)))
+    differing = np.bitwise_count(d & lowest).sum(axis=-1)
+    agree = 1 - differing / (64 // bits * x.shape[-1])
+    return (agree - 2.0**-bits) / (1 - 2.0**-bits)
+
+
+def spread(limit: float, hashes: int, bits: int) -> float:
+    """The standard deviation of an estimate at the limit."""
+    agree = limit + (1 - limit) * 2.0**-bits
+    return (max(agree * (1 - agree), 0.09) / hashes) ** 0.5 / (1 - 2.0**-bits)
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
@@ -177,20 +187,24 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, n:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _left_over(banded: DataFrame, labels: DataFrame, sigs: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, least: float) -> DataFrame:
-    """Likely pairs of members of a bucket of three or more that are in different components.
-
-    Members outside their bucket's largest component are held against all members, block by block, by longer signatures; a
-    pair comes out of the first band that it shares, once.
-    """
+def _mixed(banded: DataFrame, labels: DataFrame) -> DataFrame:
+    """band, doc_id, component, largest of the members of buckets of three or more in different components."""
     named = banded.join(labels, banded.doc_id == labels.id, "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     mixed = named.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x <> y and m > 2")
     inside = named.join(mixed.select("band", "m"), "band")
     most = inside.groupBy("band", "component").count().groupBy("band").agg(F.max(F.struct("count", "component")).alias("most")).select("band", F.col("most.component").alias("largest"))
-    inside = stored(inside.join(most, "band"), "inside")
-    a, b = _coefficients(LONG)
-    long = stored(_of_texts(stored(inside.select("doc_id").distinct(), "members"), docs, id_col, text_col, n, lambda s: signature(s, a, b).tobytes(), "long"), "long")
-    full = stored(inside.join(sigs.select("doc_id", "sig"), "doc_id").join(long, "doc_id"), "buckets")
+    return inside.join(most, "band")
+
+
+def _left_over(inside: DataFrame, signed: DataFrame, least: float, each: int | None) -> DataFrame:
+    """Likely pairs of members of one bucket in different components.
+
+    Members outside their bucket's largest component are held against all members, block by block, by longer
+    signatures; a pair comes out of the first band that it shares. With `each`, only that many of the likeliest
+    pairs of a member with another component in a block come out: one link is enough to join them, and what they leave
+    unjoined is asked again without that bound.
+    """
+    full = stored(inside.join(signed, "doc_id"), "buckets")
     item = F.struct("doc_id", "component", "sig", "long")
     asked = full.where("component <> largest")
     asked = asked.join(asked.groupBy("band").agg(F.count("*").alias("u")), "band")
@@ -209,8 +223,14 @@ def _left_over(banded: DataFrame, labels: DataFrame, sigs: DataFrame, docs: Data
                 (qi, qc, qs, ql), (ri, rc, rs, rl) = side(x.column("q")[k].as_py()), side(x.column("r")[k].as_py())
                 low, high = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
                 for i in range(len(qi)):
-                    near = np.flatnonzero((rc != qc[i]) & (estimate(ql[i], rl) >= least))
+                    score = estimate(ql[i], rl, LONG_BITS)
+                    near = np.flatnonzero((rc != qc[i]) & (score >= least))
                     near = near[(rs[near] == qs[i]).argmax(axis=1) == first]
+                    if each is not None and len(near) > each:
+                        near = near[np.lexsort((-score[near], rc[near]))]
+                        kinds = rc[near]
+                        starts = np.flatnonzero(np.append(True, kinds[1:] != kinds[:-1]))
+                        near = near[np.arange(len(near)) - np.repeat(starts, np.diff(np.append(starts, len(near)))) < each]
                     low.append(np.minimum(qi[i], ri[near]))
                     high.append(np.maximum(qi[i], ri[near]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in (low, high)], ["a", "b"])
@@ -220,10 +240,9 @@ def _left_over(banded: DataFrame, labels: DataFrame, sigs: DataFrame, docs: Data
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """Per row of docs: id, n_shingles, component_id, kept (the smallest id of its component)."""
-    # some five standard deviations of the estimates below the limit
+    # 4.5 standard deviations of the estimates below the limit
     limit = percent / 100
-    spread = max(limit * (1 - limit), 0.09) ** 0.5
-    least, least_long = limit - 5.4 * spread / HASHES**0.5, limit - 4.5 * spread / LONG**0.5
+    least, least_long = (limit - 4.5 * spread(limit, k, bits) for k, bits in ((HASHES, 8), (LONG, LONG_BITS)))
     sigs = stored(signatures(docs, id_col, text_col, words), "signatures")
     able = sigs.where("n_shingles > 0 and doc_id is not null")
     classes = able.groupBy("hi", "lo").agg(F.min("doc_id").alias("head"))
@@ -235,11 +254,22 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     pairs = stored(shared.where("doc_id <> pivot").select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct(), "pairs")
     links = stored(confirmed(stored(_likely(pairs, firsts, least), "likely"), docs, id_col, text_col, words, percent), "links")
     labels = components(links)
-    rest = _left_over(shared.select("band", "doc_id"), labels, firsts, docs, id_col, text_col, words, least_long)
-    rest = stored(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = stored(confirmed(rest, docs, id_col, text_col, words, percent), "links")
-        labels = components(links.unionByName(more))
+    # what the pivots left: first the likeliest pairs between components, then all that are still between components
+    banded = shared.select("band", "doc_id")
+    inside = stored(_mixed(banded, labels), "inside")
+    a, b = _coefficients(LONG)
+    long = _of_texts(stored(inside.select("doc_id").distinct(), "members"), docs, id_col, text_col, words, lambda s: signature(s, a, b, LONG_BITS).tobytes(), "long")
+    signed = stored(firsts.select("doc_id", "sig").join(long, "doc_id"), "signed")
+    tested = pairs
+    for each in (2, None):
+        rest = stored(_left_over(inside, signed, least_long, each).join(tested, ["a", "b"], "left_anti"), "rest")
+        if not rest.isEmpty():
+            more = stored(confirmed(rest, docs, id_col, text_col, words, percent), "links")
+            links = links.unionByName(more)
+            labels = components(links)
+        if each is not None:
+            tested = tested.unionByName(rest)
+            inside = stored(_mixed(inside.select("band", "doc_id"), labels), "inside")
     # an exact copy's component is that of its class
     of_class = classes.join(labels, classes["head"] == labels["id"], "left").select("hi", "lo", F.coalesce("component", "head").alias("component_id"))
     out = sigs.select("doc_id", "n_shingles", "hi", "lo").join(of_class, ["hi", "lo"], "left")
