@@ -15,9 +15,9 @@ text, the others are repeats from end to end. Copies therefore add no rows to th
 Both sides of the join by digest and by text hash are left to adaptive execution: a chunk that stands in very many texts
 is one row on one side and is split on the other.
 
-Cases: null texts stay null and empty ones empty, both without chunks; a null id sorts before others; rows that
-repeat an id with one text all keep it if the id is the smallest; an empty table gives an empty one; other columns
-pass through untouched, whatever their names.
+Cases: null texts stay null and empty ones empty, both without chunks; of equal texts those with the smallest id keep theirs (all of
+them, if rows repeat that id), a row without an id counts as a copy of any that has one, and if none has one all keep it; an empty table
+gives an empty one; other columns pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces_of
+from .common import pieces_of, stored
 
 WIDTH_STEPS = ((1, 2), (2, 4), (4, 8), (8, 16))
 AT_SPACE = int(2**32 / 5.2)
@@ -112,9 +112,13 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     text = F.col(text_col).cast("string")
     owned = docs.select(text.alias("text"), F.xxhash64(text).alias("owner")).where("length(text) > 0")
     chunks = chunk_rows(owned.select("owner", "text"))
-    place = F.struct("owner", "at")
-    met = chunks.groupBy("digest").agg(F.min(place).alias("kept"), F.max(place).alias("last")).where("kept <> last").select("digest", "kept")
-    again = chunks.join(met, "digest").where((F.col("owner") != F.col("kept.owner")) | (F.col("at") != F.col("kept.at")))
+    # an occurrence as one number: the upper 40 bits of its text's hash, then its offset (16 MB at most); only the order
+    # and the equality of occurrences of one digest depend on it
+    occurrence = F.col("owner").bitwiseAND(F.lit(-(1 << 24))).bitwiseOR(F.least("at", F.lit((1 << 24) - 1)).cast("long"))
+    placed = chunks.withColumn("occurrence", occurrence)
+    # the repeated digests are written, so that both sides of the join are plain exchanges that can be split
+    met = placed.groupBy("digest").agg(F.min("occurrence").alias("kept"), F.max("occurrence").alias("last")).where("kept < last").select("digest", "kept")
+    again = chunks.join(stored(met, "repeated"), "digest").where(occurrence != F.col("kept"))
     marks = again.groupBy("owner").agg(F.collect_set("at").alias("repeats"))
     # copies: a second, independent hash so that two texts are not taken for one
     copies = docs.where(F.length(text) > 0).groupBy(F.xxhash64(text).alias("owner"), F.hash(text).alias("owner2")).agg(F.min(id_col).alias("first_id"), F.count("*").alias("copies"))
