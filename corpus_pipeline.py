@@ -9,16 +9,20 @@ from foliodex.llm import bpe, decontamination, near_dedup, queries, repetition,
 from foliodex.llm.common import stored, table
 
 
+def _of(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The rows of docs whose id is among the verdicts' (a null id too)."""
+    good = verdicts.select(F.col("doc_id").alias("_good")).distinct()
+    return docs.join(good, docs["doc_id"].eqNullSafe(good["_good"]), "left_semi")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the repetition rules keep."""
-    verdicts = repetition.repetition_rules(docs).where("kept").select("doc_id")
-    return docs.join(verdicts, "doc_id", "left_semi")
+    return repetition.keep_good(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id."""
-    verdicts = near_dedup.near_duplicates(docs, words=5, percent=80).where("kept").select("doc_id")
-    return docs.join(verdicts, "doc_id", "left_semi")
+    return _of(docs, near_dedup.near_duplicates(docs, words=5, percent=80).where("kept"))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +35,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that benchmark passages do not contaminate."""
-    verdicts = decontamination.contamination(docs, table(spark, sf_dir, "benchmark")).where("not contaminated").select("doc_id")
-    return docs.join(verdicts, "doc_id", "left_semi")
+    return _of(docs, decontamination.contamination(docs, table(spark, sf_dir, "benchmark")).where("not contaminated"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -142,19 +142,34 @@ def _measures(texts: list, min_words: int) -> dict[str, np.ndarray]:
     return out
 
 
+def _verdicts(texts: list, min_words: int, max_covered: float, max_longest: float) -> dict[str, np.ndarray]:
+    m = _measures(texts, min_words)
+    words = np.maximum(m["n_words"], 1)
+    failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+    fraction = m["covered_words"] / words
+    kept = ~failed & (fraction <= max_covered) & (m["longest_repeat"] <= max_longest * words)
+    return m | {"base_failed": failed, "covered_fraction": fraction, "kept": kept}
+
+
 def repetition_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8, max_covered: float = 0.5, max_longest: float = 0.35) -> DataFrame:
     """One row of measures and verdicts per document; see the module's docstring."""
+    names = [x.split()[0] for x in SCHEMA.split(", ")][1:]
+
+    def run(batches):
+        for whole in batches:
+            for batch in pieces_of(whole, text_col, 1 << 20):
+                v = _verdicts(batch.column(text_col).to_pylist(), min_words, max_covered, max_longest)
+                yield pa.RecordBatch.from_arrays([batch.column(id_col), *(pa.array(v[k]) for k in names)], [id_col, *names])
+
+    return docs.select(docs[id_col].cast("long").alias(id_col), docs[text_col].cast("string").alias(text_col)).mapInArrow(run, SCHEMA.replace("doc_id", f"`{id_col}`", 1))
+
+
+def keep_good(docs: DataFrame, *, text_col: str = "text", min_words: int = 8, max_covered: float = 0.5, max_longest: float = 0.35) -> DataFrame:
+    """The rows of docs that the rules keep, with all their columns; nothing is shuffled."""
 
     def run(batches):
         for whole in batches:
             for batch in pieces_of(whole, text_col, 1 << 20):
-                m = _measures(batch.column(text_col).to_pylist(), min_words)
-                words = np.maximum(m["n_words"], 1)
-                failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
-                fraction = m["covered_words"] / words
-                kept = ~failed & (fraction <= max_covered) & (m["longest_repeat"] <= max_longest * words)
-                names = [x.split()[0] for x in SCHEMA.split(", ")]
-                values = m | {"base_failed": failed, "covered_fraction": fraction, "kept": kept}
-                yield pa.RecordBatch.from_arrays([batch.column(id_col), *(pa.array(values[k]) for k in names[1:])], names)
-
-    return docs.select(docs[id_col].cast("long").alias(id_col), docs[text_col].cast("string").alias(text_col)).mapInArrow(run, SCHEMA.replace("doc_id", id_col, 1))
+                yield batch.filter(pa.array(_verdicts(batch.column(text_col).to_pylist(), min_words, max_covered, max_longest)["kept"]))
+
+    return docs.mapInArrow(run, docs.schema)
