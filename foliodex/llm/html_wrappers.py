@@ -10,8 +10,8 @@ Hosts are not bounded, nor are a host's pages: only distinct folded streams of a
 pages of a template are one), they are merged a few dozen at a time, and the merged wrappers again, until
 each host has one. A hot host is spread over as many tasks as it has such groups.
 
-The main part of a wrapper is its content container: <article>, else <main>, else the container that says it is one, else
-all of <body>. Inside it, containers of navigation, notices, adverts, forms, comments and the
+The main part of a page is made of its content containers, chosen on each page among those of its host's wrapper: every
+<article>, else <main>, else the containers that say they are one, else all of <body>. Inside it, containers of navigation, notices, adverts, forms, comments and the
 like are left out. A page is parsed by its host's wrapper and yields the texts in the slots of the main part.
 Should a page not match (a host without wrapper), a wrapper of the page alone is used, which it matches by construction.
 
@@ -199,28 +199,29 @@ def _flat(items: list) -> list[str]:
     return [y for x in items for y in ([x] if isinstance(x, str) else _flat(x[1:]))]
 
 
-def container(wrapper: list) -> str | None:
-    """The opening tag of the main part."""
-    tags = [t for t in dict.fromkeys(_flat(wrapper)) if not t.startswith("/") and t != SLOT]
-    for want in ("article", "main"):
-        for t in tags:
-            if _names_of(t)[0] == want:
-                return t
-    for word in IN_NAMES:
-        for t in tags:
-            name, said = _names_of(t)
-            if word in said and name in ("div", "section", "td") and not said & OUT_NAMES:
-                return t
+def _rank(tag: str) -> int | None:
+    """The order in which kinds of main parts are asked for: articles, <main>, containers by their names, and last articles and mains that are named as no content."""
+    name, said = _names_of(tag)
+    if name in ("article", "main"):
+        return (0 if name == "article" else 1) + (2 + len(IN_NAMES) if said & OUT_NAMES else 0)
+    if name in ("div", "section", "td") and not said & OUT_NAMES:
+        return next((2 + k for k, word in enumerate(IN_NAMES) if word in said), None)
     return None
 
 
+def candidates(wrapper: list) -> dict[str, int]:
+    """The opening tags of the wrapper that can be a page's main part, with their ranks."""
+    ranks = {t: _rank(t) for t in set(_flat(wrapper)) if not t.startswith("/") and t != SLOT}
+    return {t: r for t, r in ranks.items() if r is not None}
+
+
 class Parser:
     """A wrapper as a regular expression over one character for each kind of token."""
 
     def __init__(self, wrapper: list):
         self.codes: dict[str, str] = {}
         self.pattern = regex.compile(self._expression(wrapper))
-        self.main = container(wrapper)
+        self.mains = candidates(wrapper)
 
     def _code(self, tag: str) -> str:
         return self.codes.setdefault(tag, chr(0xE000 + len(self.codes)))
@@ -238,10 +239,20 @@ class Parser:
             return False
 
     def texts(self, stream: list[tuple[str, str | None]]) -> str:
-        """The blocks in the slots of the main part, joined by line ends."""
+        """The texts of the page's best kind of main part that has any; of the body where none is open."""
+        opened = False
+        for rank in sorted({self.mains[t] for t, _ in stream if t in self.mains}):
+            text, found = self._texts(stream, rank)
+            if text:
+                return text
+            opened |= found
+        return "" if opened else self._texts(stream, None)[0]
+
+    def _texts(self, stream: list[tuple[str, str | None]], rank: int | None) -> tuple[str, bool]:
+        """The blocks in the slots of all main parts of a rank, joined by line ends, and whether there is such a part."""
         blocks: list[str] = []
         current: list[str] = []
-        main = _names_of(self.main)[0] if self.main else None
+        main, found = "", False
         depth, out_depth, out_tag = 0, 0, ""
 
         def flush():
@@ -252,7 +263,7 @@ class Parser:
 
         for tag, text in stream:
             if text is not None:
-                if not out_depth and (depth or main is None):
+                if not out_depth and (depth or rank is None):
                     current.append(text)
                 continue
             closing = tag.startswith("/")
@@ -263,13 +274,15 @@ class Parser:
                 if name == out_tag:
                     out_depth += -1 if closing else 1
                 continue
-            opens_main = not closing and not depth and tag == self.main
+            opens_main = rank is not None and not depth and self.mains.get(tag) == rank
             if not (closing or opens_main) and name not in VOID and (name in OUT_TAGS or said & OUT_NAMES) and name not in ("html", "body"):
                 out_depth, out_tag = 1, name
-            elif name == main:
-                depth = max(0, depth - 1) if closing else depth + 1 if depth or opens_main else 0
+            elif opens_main:
+                main, depth, found = name, 1, True
+            elif depth and name == main:
+                depth += -1 if closing else 1
         flush()
-        return "\n".join(blocks)
+        return "\n".join(blocks), found
 
 
 def host(url: Column) -> Column:

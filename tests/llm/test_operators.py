@@ -132,6 +132,15 @@ def test_wrappers_generalise():
     assert not both.matches(html_wrappers.tokens("<table></table>"))
 
 
+def test_hosts_with_mixed_templates(spark):
+    html = ["<article><p>one</p></article>", "<main><p>two</p></main>", "<div class=content><p>three</p></div><p>out", "<article class=post><p>four</p></article>", "<article><p>5</p></article><i>no</i><article class=post><p>6</p></article>", "<p>seven</p>", "<aside><article>no</article></aside><div class=content>8</div>"]
+    want = ["one", "two", "three", "four", "5\n6", "seven", "8"]
+    for url in ("http://mixed.example/", None):
+        pages = spark.createDataFrame([(i, url, f"<html><body><nav>n</nav>{h}</body></html>") for i, h in enumerate(html)], "page_id long, url string, html string")
+        got = html_wrappers.extract(pages).orderBy("page_id").collect()
+        assert [r.text for r in got] == want and all(r.matched for r in got)
+
+
 def test_extraction_of_the_sample(spark):
     def plain(h):
         body = re.search(r"<article>(.*?)</article>", h, re.S)[1]
