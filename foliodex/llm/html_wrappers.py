@@ -12,10 +12,10 @@ each host has one. A hot host is spread over as many tasks as it has such groups
 
 The main part of a page is made of its content containers, chosen on each page among those of its host's wrapper: every
 <article>, else <main>, else the containers that say they are one, else all of <body>. Inside it, containers of navigation, notices, adverts, forms, comments and the
-like are left out. A page is parsed by its host's wrapper and yields the texts in the slots of the main part.
+like are left out, named by their tag or a whole word of class, id or role. A page is parsed by its host's wrapper and yields the texts in the slots of the main part.
 Should a page not match (a host without wrapper), a wrapper of the page alone is used, which it matches by construction.
 
-Cases: a null or empty html has the empty text; unclosed and stray tags are passed over; a null or odd url belongs to the host ""; repeated pages
+Cases: a null or empty html has the empty text; an unclosed element ends where HTML implies it or with its parent, stray end tags are passed over; a null or odd url belongs to the host ""; repeated pages
 give repeated rows; an empty table gives an empty one; other columns are not read.
 """
 
@@ -41,6 +41,25 @@ OUT_NAMES = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside ad ads advert advertisement adverts sponsor sponsored promo banner cookie cookies consent notice "
     "newsletter subscribe signup popup modal comment comments respond replies share sharing social related recommended widget toolbar pagination pager copyright".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Which open elements a start tag ends by implication, and the elements through which none of it, nor an end tag, reaches.
+ENDS_P = HEADINGS | frozenset("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form header hgroup hr li main menu nav ol p pre search section summary table ul".split())
+CELL = frozenset("td th caption".split())
+SCOPE = CELL | frozenset("table html template object marquee button".split())
+TABLES = frozenset("table html template".split())
+LISTS = SCOPE | frozenset("ul ol menu dl".split())
+IMPLIED: dict[str, tuple[frozenset, frozenset]] = {
+    "li": (frozenset(["li"]), LISTS),
+    **dict.fromkeys(("dt", "dd"), (frozenset(["dt", "dd"]), LISTS)),
+    **dict.fromkeys(("td", "th"), (CELL, TABLES | {"tr"})),
+    "tr": (CELL | {"tr"}, TABLES),
+    **dict.fromkeys(("tbody", "thead", "tfoot"), (CELL | {"tr", "tbody", "thead", "tfoot", "colgroup"}, TABLES)),
+    "option": (frozenset(["option"]), frozenset(["select", "datalist"])),
+    "optgroup": (frozenset(["option", "optgroup"]), frozenset(["select", "datalist"])),
+    "a": (frozenset(["a"]), SCOPE),
+    "body": (frozenset(["head"]), frozenset(["html"])),
+}
+HEAD = frozenset("head html base basefont bgsound link meta noframes script style template title noscript".split())
 IN_NAMES = ("article", "post", "content", "entry", "story", "main", "body")
 SLOT = "\x00"
 
@@ -71,7 +90,9 @@ def tokens(html: str) -> list[tuple[str, str | None]]:
         if m[1]:
             out.append((f"/{tag}", None))
             continue
-        said = sorted({n for a in _attribute.finditer(m[3]) for n in _names.findall((a[2] or a[3] or a[4] or "").lower())} & (OUT_NAMES | set(IN_NAMES)))
+        values = [(a[2] or a[3] or a[4] or "").lower() for a in _attribute.finditer(m[3])]
+        # what is no content is named by a whole word of class, id or role, a main part also by a piece of one (post-content)
+        said = sorted({n for v in values for n in v.split() if n in OUT_NAMES} | {n for v in values for n in _names.findall(v) if n in IN_NAMES})
         out.append((".".join([tag, *said]), None))
         if tag in RAW and not m[3].rstrip().endswith("/"):
             end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
@@ -252,8 +273,8 @@ class Parser:
         """The blocks in the slots of all main parts of a rank, joined by line ends, and whether there is such a part."""
         blocks: list[str] = []
         current: list[str] = []
-        main, found = "", False
-        depth, out_depth, out_tag = 0, 0, ""
+        found = False
+        open_ = Elements()
 
         def flush():
             text = " ".join(entities.unescape("".join(current)).split())
@@ -263,28 +284,104 @@ class Parser:
 
         for tag, text in stream:
             if text is not None:
-                if not out_depth and (depth or rank is None):
+                if text.strip():
+                    open_.end_head()
+                inside, out = open_.state
+                if not out and (inside or rank is None):
                     current.append(text)
                 continue
             closing = tag.startswith("/")
             name, said = _names_of(tag[1:] if closing else tag)
             if name not in INLINE and name not in RAW:
                 flush()
-            if out_depth:
-                if name == out_tag:
-                    out_depth += -1 if closing else 1
+            if name in RAW or closing and name in VOID:
                 continue
-            opens_main = rank is not None and not depth and self.mains.get(tag) == rank
-            if not (closing or opens_main) and name not in VOID and (name in OUT_TAGS or said & OUT_NAMES) and name not in ("html", "body"):
-                out_depth, out_tag = 1, name
-            elif opens_main:
-                main, depth, found = name, 1, True
-            elif depth and name == main:
-                depth += -1 if closing else 1
+            if closing:
+                open_.close(name)
+                continue
+            open_.imply(name)
+            if name in VOID:
+                continue
+            inside, out = open_.state
+            if rank is not None and not (inside or out) and self.mains.get(tag) == rank:
+                inside = found = True
+            elif (name in OUT_TAGS or said & OUT_NAMES) and name not in ("html", "body"):
+                out = True
+            open_.push(name, inside, out)
         flush()
         return "\n".join(blocks), found
 
 
+class Elements:
+    """The open elements of a page, each with whether it is inside a main part and inside what is no content; HTML's implied ends close them."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, bool, bool]] = []
+        self.count: dict[str, int] = {}
+
+    @property
+    def state(self) -> tuple[bool, bool]:
+        return self.stack[-1][1:] if self.stack else (False, False)
+
+    def push(self, name: str, inside: bool, out: bool) -> None:
+        self.stack.append((name, inside, out))
+        self.count[name] = self.count.get(name, 0) + 1
+
+    def _cut(self, at: int) -> None:
+        while len(self.stack) > at:
+            self.count[self.stack.pop()[0]] -= 1
+
+    def _end(self, names: frozenset, scope: frozenset, *, outermost: bool = False) -> None:
+        """End the innermost open element of these names (or the outermost one) that lies within the scope, with all in it."""
+        if not any(self.count.get(n) for n in names):
+            return
+        at = None
+        for k in range(len(self.stack) - 1, -1, -1):
+            name = self.stack[k][0]
+            if name in names:
+                at = k
+                if not outermost:
+                    break
+            elif name in scope:
+                break
+        if at is not None:
+            self._cut(at)
+
+    def end_head(self) -> None:
+        if self.count.get("head"):
+            self._end(frozenset(["head"]), frozenset(["body"]))
+
+    def imply(self, name: str) -> None:
+        """End what a start tag of this name ends."""
+        if name not in HEAD:
+            self.end_head()
+        if name in IMPLIED:
+            names, scope = IMPLIED[name]
+            self._end(names, scope, outermost=name in ("tr", "tbody", "thead", "tfoot", "optgroup"))
+        if name in ENDS_P:
+            self._end(frozenset(["p"]), SCOPE)
+        if name in HEADINGS and self.stack and self.stack[-1][0] in HEADINGS:
+            self._cut(len(self.stack) - 1)
+
+    def close(self, name: str) -> None:
+        """End the element that an end tag names, if one is open within reach; a stray end tag ends nothing."""
+        names = HEADINGS if name in HEADINGS else frozenset([name])
+        if name in ("body", "html"):
+            self._end(names, frozenset())
+        elif name in INLINE:
+            if self.count.get(name):
+                for k in range(len(self.stack) - 1, -1, -1):
+                    if self.stack[k][0] == name:
+                        self._cut(k)
+                        break
+                    if self.stack[k][0] not in INLINE:
+                        break
+        elif name in CELL or name in ("tr", "tbody", "thead", "tfoot", "table"):
+            self._end(names, TABLES - names)
+        else:
+            self._end(names, (LISTS if name == "li" else SCOPE) - names)
+
+
 def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 

@@ -125,6 +125,24 @@ def test_extraction_by_hand():
     assert extracted("") == "" and extracted("a < b") == "a < b"
 
 
+UNCLOSED = [
+    ("<article><p class=ad>x<p>real</p><p>real</p></article>", "real\nreal"),
+    ("<article><ul><li class=share>x<li>one<li>two</ul><p>end</article>", "one\ntwo\nend"),
+    ("<article><section><div class=ad>x<p>y</section><p>real</article><p>out", "real"),
+    ("<div class=content><div><nav><ul><li>m</div><p>real</div>", "real"),
+    ("<article><dl><dt>a<dd class=promo>x<dt>b<dd>c</dl><table><tr><td class=ad>x<td>1<tr class=menu><td>y<tr><td>2</table>z</article>", "a\nb\nc\n1\n2\nz"),
+    ("<head><title>t</title><body><p>real", "real"),
+    ("<article><p>a<span class=ad>x<p>real</article>", "a\nreal"),
+    ("<article><div>a</span></p></section>b</div>c</article>", "a\nb\nc"),
+    ("<body><div class='content with-sidebar'><p class='social-policy'>a</p><div id='notice-of-meeting'>b</div><div class='x ad'>no</div></div>", "a\nb"),
+]
+
+
+@pytest.mark.parametrize("html, text", UNCLOSED)
+def test_excluded_elements_end_where_html_ends_them(html, text):
+    assert extracted(html) == text
+
+
 def test_wrappers_generalise():
     one, two = (html_wrappers.shape(html_wrappers.tokens(x)) for x in ("<ul><li>a</li></ul><p>x</p>", "<h2>t</h2><ul><li>a</li><li>b</li><li>c</li></ul><p>x</p>"))
     both = html_wrappers.Parser(html_wrappers.align(one, two))
