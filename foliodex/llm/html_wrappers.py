@@ -13,6 +13,8 @@ each host has one. A hot host is spread over as many tasks as it has such groups
 The main part of a page is made of its content containers, chosen on each page among those of its host's wrapper: every
 <article>, else <main>, else the containers that say they are one, else all of <body>. Inside it, containers of navigation, notices, adverts, forms, comments and the
 like are left out, named by their tag or a whole word of class, id or role. A page is parsed by its host's wrapper and yields the texts in the slots of the main part.
+A named main part keeps all its texts. Where there is none, the texts that a slot has on every page of the host are
+constants of the template and are left out (see infer_constants), unless the page has no others.
 Should a page not match (a host without wrapper), a wrapper of the page alone is used, which it matches by construction.
 
 Cases: a null or empty html has the empty text; an unclosed element ends where HTML implies it or with its parent, stray end tags are passed over; a null or odd url belongs to the host ""; repeated pages
@@ -21,12 +23,12 @@ give repeated rows; an empty table gives an empty one; other columns are not rea
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
 
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -236,38 +238,117 @@ def candidates(wrapper: list) -> dict[str, int]:
     return {t: r for t, r in ranks.items() if r is not None}
 
 
+#: A parser's remembered steps are bounded; above so many entries they begin anew.
+MOST_STEPS = 1_000_000
+MATCH = -1
+
+
 class Parser:
-    """A wrapper as a regular expression over one character for each kind of token."""
+    """A wrapper as an automaton over tags and slots, whose sets of states are remembered: time is linear in the page, without backtracking."""
 
     def __init__(self, wrapper: list):
-        self.codes: dict[str, str] = {}
-        self.pattern = regex.compile(self._expression(wrapper))
+        self.program: list = []  # (tag,) takes a token; (x, y) goes on at x or y
+        self._compile(wrapper)
         self.mains = candidates(wrapper)
+        self._forget()
+
+    def _compile(self, items: list) -> None:
+        for x in items:
+            if isinstance(x, str):
+                self.program.append((x,))
+            elif x[0] == "?":
+                at = len(self.program)
+                self.program.append(None)
+                self._compile(x[1:])
+                self.program[at] = (at + 1, len(self.program))
+            else:
+                at = len(self.program)
+                self._compile(x[1:])
+                self.program.append((at, len(self.program) + 1))
+
+    def _forget(self) -> None:
+        self.reach: dict[int, frozenset[int]] = {}
+        self.step: dict[tuple[frozenset[int], str], tuple[list[int], frozenset[int]]] = {}
+        self.size = 0
+
+    def _reach(self, at: int) -> frozenset[int]:
+        """The places that take a token (or MATCH) to which a place leads without one."""
+        if at not in self.reach:
+            seen, todo, out = set(), [at], set()
+            while todo:
+                k = todo.pop()
+                if k in seen:
+                    continue
+                seen.add(k)
+                if k == len(self.program):
+                    out.add(MATCH)
+                elif len(self.program[k]) == 1:
+                    out.add(k)
+                else:
+                    todo.extend(self.program[k])
+            self.reach[at] = frozenset(out)
+            self.size += len(out)
+        return self.reach[at]
+
+    def bind(self, stream: list[tuple[str, str | None]]) -> list[int] | None:
+        """The place in the wrapper that takes each token (white space between tags left out), or None if the page does not match.
+
+        Of several ways to match the one is taken that, from the last token on, has the first place.
+        """
+        if self.size > MOST_STEPS:
+            self._forget()
+        now, taken = self._reach(0), []
+        for tag, _ in stream:
+            if tag == " ":
+                continue
+            if (now, tag) not in self.step:
+                hits = sorted(k for k in now if k != MATCH and self.program[k][0] == tag)
+                then = frozenset().union(*(self._reach(k + 1) for k in hits))
+                self.step[now, tag] = (hits, then)
+                self.size += len(hits) + len(then)
+            hits, now = self.step[now, tag]
+            if not hits:
+                return None
+            taken.append(hits)
+        if MATCH not in now:
+            return None
+        target, out = MATCH, []
+        for hits in reversed(taken):
+            target = hits[0] if len(hits) == 1 else next(k for k in hits if target in self._reach(k + 1))
+            out.append(target)
+        return out[::-1]
 
-    def _code(self, tag: str) -> str:
-        return self.codes.setdefault(tag, chr(0xE000 + len(self.codes)))
+    def matches(self, stream: list[tuple[str, str | None]]) -> bool:
+        return self.bind(stream) is not None
 
-    def _expression(self, items: list) -> str:
-        return "".join(self._code(x) if isinstance(x, str) else f"(?:{self._expression(x[1:])}){x[0]}" for x in items)
+    def slots(self, stream: list[tuple[str, str | None]], bound: list[int]) -> list[tuple[int, str] | None]:
+        """For each token of the stream the slot that takes its text and the text, or None."""
+        places = iter(bound)
+        placed = ((None if tag == " " else next(places), tag, text) for tag, text in stream)
+        return [(k, " ".join(text.split())) if tag == SLOT else None for k, tag, text in placed]
 
-    def matches(self, stream: list[tuple[str, str | None]]) -> bool:
-        codes = [self.codes.get(t) for t, _ in stream if t != " "]
-        if None in codes:
-            return False
-        try:
-            return self.pattern.fullmatch("".join(codes), timeout=2) is not None
-        except TimeoutError:  # an ambiguous wrapper; the page then gets one of its own
-            return False
-
-    def texts(self, stream: list[tuple[str, str | None]]) -> str:
-        """The texts of the page's best kind of main part that has any; of the body where none is open."""
+    def without(self, stream: list[tuple[str, str | None]], bound: list[int], constants: frozenset[tuple[int, int]]) -> list[tuple[str, str | None]]:
+        """The stream without texts that its host's pages all have in the same slot."""
+        return [(" ", " ") if s and (s[0], digest(s[1])) in constants else x for x, s in zip(stream, self.slots(stream, bound), strict=True)]
+
+    def main(self, stream: list[tuple[str, str | None]]) -> str | None:
+        """The text of the page's best kind of main part that has any, None where no main part is open."""
         opened = False
         for rank in sorted({self.mains[t] for t, _ in stream if t in self.mains}):
             text, found = self._texts(stream, rank)
             if text:
                 return text
             opened |= found
-        return "" if opened else self._texts(stream, None)[0]
+        return "" if opened else None
+
+    def texts(self, stream: list[tuple[str, str | None]], bound: list[int] | None = None, constants: frozenset[tuple[int, int]] = frozenset()) -> str:
+        """The text of the main part; where none is open that of the body, without the host's constants unless nothing else is there."""
+        text = self.main(stream)
+        if text is not None:
+            return text
+        if bound and constants:
+            text = self._texts(self.without(stream, bound, constants), None)[0]
+        return text or self._texts(stream, None)[0]
 
     def _texts(self, stream: list[tuple[str, str | None]], rank: int | None) -> tuple[str, bool]:
         """The blocks in the slots of all main parts of a rank, joined by line ends, and whether there is such a part."""
@@ -382,12 +463,17 @@ class Elements:
             self._end(names, (LISTS if name == "li" else SCOPE) - names)
 
 
+def digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
 def infer_wrappers(pages: DataFrame, *, fan_in: int = 32) -> DataFrame:
-    """host, wrapper (JSON) for every host of (host, html) rows."""
+    """host, wrapper (JSON), bare (whether a page of it has no named main part) for every host of (host, html) rows."""
+    schema = "host string, wrapper string, bare boolean"
 
     def shapes(batches):
         seen: set[tuple[str, str]] = set()
@@ -395,56 +481,103 @@ def infer_wrappers(pages: DataFrame, *, fan_in: int = 32) -> DataFrame:
             for x in pieces_of(whole, "html"):
                 new = []
                 for h, text in zip(x.column("host").to_pylist(), x.column("html").to_pylist(), strict=True):
-                    pair = (h, json.dumps(shape(tokens(text or "")), ensure_ascii=False))
+                    stream = tokens(text or "")
+                    found = shape(stream)
+                    pair = (h, json.dumps(found, ensure_ascii=False))
                     if pair not in seen:
-                        new.append(pair)
+                        new.append((*pair, Parser(found).main(stream) is None))
                         if len(seen) < 100_000:
                             seen.add(pair)
-                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in new], pa.string()) for k in (0, 1)], ["host", "wrapper"])
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in new], t) for k, t in enumerate((pa.string(), pa.string(), pa.bool_()))], ["host", "wrapper", "bare"])
 
     def merge(rows: pa.Table) -> pa.Table:
-        wrappers = sorted(rows.column("wrapper").to_pylist(), key=lambda w: (len(w), w))
+        wrappers = sorted(set(rows.column("wrapper").to_pylist()), key=lambda w: (len(w), w))
         found = json.loads(wrappers[0])
         for w in wrappers[1:]:
             found = align(found, json.loads(w))
-        return pa.table({"host": [rows.column("host")[0].as_py()], "wrapper": [json.dumps(found, ensure_ascii=False)]})
+        return pa.table({"host": [rows.column("host")[0].as_py()], "wrapper": [json.dumps(found, ensure_ascii=False)], "bare": [any(rows.column("bare").to_pylist())]})
 
-    left = stored(pages.mapInArrow(shapes, "host string, wrapper string").distinct(), "shapes")
+    left = stored(pages.mapInArrow(shapes, schema).distinct(), "shapes")
     while True:
         counts = left.groupBy("host").count()
         most = counts.agg(F.max("count")).first()[0] or 0
         if most <= 1:
             return left
         part = F.pmod(F.xxhash64("wrapper"), F.ceil(F.col("count") / fan_in)).alias("part")
-        left = stored(left.join(counts, "host").select("host", "wrapper", part).groupBy("host", "part").applyInArrow(merge, "host string, wrapper string"), "wrappers")
+        left = stored(left.join(counts, "host").select("host", "wrapper", "bare", part).groupBy("host", "part").applyInArrow(merge, schema), "wrappers")
+
+
+def parsers():
+    """Parsers by wrapper, kept while there are not too many."""
+    known: dict[str, Parser] = {}
+
+    def of(wrapper: str | None) -> Parser | None:
+        if wrapper and wrapper not in known:
+            if len(known) > 5_000:
+                known.clear()
+            known[wrapper] = Parser(json.loads(wrapper))
+        return known.get(wrapper) if wrapper else None
+
+    return of
+
+
+def infer_constants(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """host, constants (JSON of [slot, digest] pairs) of bare hosts: texts on every page that fills their slot.
+
+    Equal pages count as one; the slot must be filled on two pages and on over half of its host's pages.
+    """
+
+    def run(batches):
+        of = parsers()
+        for whole in batches:
+            for x in pieces_of(whole, "html"):
+                rows = []
+                for h, page, wrapper in zip(*(x.column(c).to_pylist() for c in ("host", "html", "wrapper")), strict=True):
+                    stream, parser = tokens(page or ""), of(wrapper)
+                    bound = parser.bind(stream) if parser else None
+                    if bound is not None:
+                        key = digest(page or "")
+                        rows.extend((h, k, t, key) for k, t in {(s[0], digest(s[1])) for s in parser.slots(stream, bound) if s})
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["host", "slot", "text", "page"])
+
+    bound = pages.join(wrappers.where("bare").select("host", "wrapper"), "host").select("host", "html", "wrapper").mapInArrow(run, "host string, slot long, text long, page long")
+    bound = stored(bound.distinct(), "bound")
+    texts = bound.groupBy("host", "slot", "text").agg(F.count("*").alias("n")).where("n >= 2")
+    slots = bound.select("host", "slot", "page").distinct().groupBy("host", "slot").agg(F.count("*").alias("n"))
+    all_pages = bound.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("n_pages"))
+    found = texts.join(slots, ["host", "slot", "n"]).join(all_pages, "host").where("2 * n > n_pages")
+    return found.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list(F.array("slot", "text")))).alias("constants"))
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per page: page_id, url, text, n_chars, matched (whether its host's wrapper took it)."""
     rows = pages.select(F.col(id_col).cast("long").alias(id_col), F.col(url_col).cast("string").alias(url_col), host(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
     wrappers = infer_wrappers(rows.select("host", "html"))
+    if wrappers.where("bare").limit(1).count():
+        wrappers = wrappers.join(infer_constants(rows.select("host", "html"), wrappers), "host", "left")
+    else:
+        wrappers = wrappers.withColumn("constants", F.lit(None).cast("string"))
 
     def run(batches):
-        known: dict[str, Parser] = {}
+        of = parsers()
+        last, constants = None, frozenset()
         for whole in batches:
             for x in pieces_of(whole, "html"):
                 texts, matched = [], []
-                for page, wrapper in zip(x.column("html").to_pylist(), x.column("wrapper").to_pylist(), strict=True):
+                for page, wrapper, said in zip(*(x.column(c).to_pylist() for c in ("html", "wrapper", "constants")), strict=True):
+                    if said != last:
+                        last, constants = said, frozenset(map(tuple, json.loads(said or "[]")))
                     stream = tokens(page or "")
-                    parser = known.get(wrapper) if wrapper else None
-                    if wrapper and parser is None:
-                        if len(known) > 5_000:
-                            known.clear()
-                        parser = known[wrapper] = Parser(json.loads(wrapper))
-                    matched.append(parser is not None and parser.matches(stream))
-                    if not matched[-1]:
-                        parser = Parser(shape(stream))
-                    texts.append(parser.texts(stream))
+                    parser = of(wrapper)
+                    bound = parser.bind(stream) if parser else None
+                    matched.append(bound is not None)
+                    texts.append(parser.texts(stream, bound, constants) if matched[-1] else Parser(shape(stream)).texts(stream))
                 yield pa.RecordBatch.from_arrays(
                     [x.column(id_col), x.column(url_col), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(matched, pa.bool_())], [id_col, url_col, "text", "n_chars", "matched"]
                 )
 
-    return rows.join(wrappers, "host", "left").select(id_col, url_col, "html", "wrapper").mapInArrow(run, f"`{id_col}` long, `{url_col}` string, text string, n_chars long, matched boolean")
+    joined = rows.join(wrappers, "host", "left").select(id_col, url_col, "html", "wrapper", "constants")
+    return joined.mapInArrow(run, f"`{id_col}` long, `{url_col}` string, text string, n_chars long, matched boolean")
 
 
 #: The driver's pages have one kind of article, for which SQL can say what is to come out.

@@ -159,6 +159,22 @@ def test_hosts_with_mixed_templates(spark):
         assert [r.text for r in got] == want and all(r.matched for r in got)
 
 
+def test_constants_of_a_host_are_left_out(spark):
+    one = lambda k: f"<body><div class=c1><a>Home</a><a>News</a></div><div class=c7>All rights kept</div><p>text {k}</p><p>more {k}</p><div class=c9>Imprint</div></body>"
+    rows = [(k, "http://bare.example/", one(k)) for k in range(4)] + [(5, "http://alone.example/", one(5)), (6, "http://alone.example/", one(5)), (7, "http://named.example/", "<article><p>same</p><p>7</p></article>"), (8, "http://named.example/", "<article><p>same</p><p>8</p></article>")]
+    got = {r.page_id: r.text for r in html_wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[k] for k in range(4)] == [f"text {k}\nmore {k}" for k in range(4)]
+    assert got[5] == got[6] == "HomeNews\nAll rights kept\ntext 5\nmore 5\nImprint" and (got[7], got[8]) == ("same\n7", "same\n8")
+
+
+def test_ambiguous_wrappers_are_matched_in_linear_time():
+    wrapper = ["+", *[["?", "p", html_wrappers.SLOT, "/p"]] * 3]
+    for _ in range(6):
+        wrapper = ["+", wrapper, ["?", wrapper]]
+    parser, page = html_wrappers.Parser([wrapper, "hr"]), html_wrappers.tokens("<p>x</p>" * 2000)
+    assert not parser.matches(page) and parser.matches([*page, ("hr", None)])
+
+
 def test_extraction_of_the_sample(spark):
     def plain(h):
         body = re.search(r"<article>(.*?)</article>", h, re.S)[1]
