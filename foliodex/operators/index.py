@@ -80,22 +80,30 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def dense_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+def dense_scores(queries: DataFrame, vectors: DataFrame, *, a_pass: int = 100_000) -> DataFrame:
     """qid, doc_name, chunk_index, score: exact cosine of (qid, vector) with every (doc_name, chunk_index, embedding).
 
-    Queries are the stated small side: their matrix goes to each Arrow batch of vectors, at most
-    100,000 queries a pass, and a batch yields each query's scores.
+    Queries are cut by their ids into passes of about a_pass; any number of them is answered. The matrix of a
+    pass goes to each Arrow batch of vectors, and a batch yields each query's scores.
     """
+    passes = -(-queries.count() // a_pass)
+    if not passes:
+        return vectors.select(F.lit(None).cast("long").alias("qid"), "doc_name", "chunk_index", F.lit(None).cast("double").alias("score")).limit(0)
+    found = None
+    for k in range(passes):
+        scores = _scores_of(queries.where(F.pmod(F.xxhash64("qid"), F.lit(passes)) == k), vectors)
+        found = scores if found is None else found.unionByName(scores)
+    return found
+
+
+def _scores_of(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The scores of one pass of dense_scores."""
     import numpy as np
 
-    asked = queries.select("qid", "vector").limit(100_001).collect()
-    if len(asked) > 100_000:
-        raise ValueError("ask at most 100,000 dense queries at a time")
-    if not asked:
-        return vectors.select(F.lit(None).cast("long").alias("qid"), "doc_name", "chunk_index", F.lit(None).cast("double").alias("score")).limit(0)
-    ids = [r.qid for r in asked]
-    matrix = np.array([r.vector for r in asked], float)
-    matrix /= np.where((n := np.linalg.norm(matrix, axis=1, keepdims=True)) == 0, 1, n)
+    asked = queries.select("qid", "vector").toArrow()
+    ids = asked.column("qid").to_pylist()
+    matrix = np.asarray(asked.column("vector").combine_chunks().flatten(), float).reshape(len(ids), -1) if ids else np.empty((0, 0))
+    matrix = matrix / np.where((n := np.linalg.norm(matrix, axis=1, keepdims=True)) == 0, 1, n)
 
     def run(batches):
         import pyarrow as pa

@@ -125,3 +125,16 @@ def test_questions_and_vectors(spark, tmp_path):
     assert files.load_vectors(spark, str(tmp_path), "m").count() == 1
     with pytest.raises(ValueError, match="mismatch"):
         files.load_vectors(spark, str(tmp_path), "other")
+
+
+def test_dense_queries_in_several_passes(spark):
+    vectors = spark.range(60).select(F.lit("d").alias("doc_name"), F.col("id").alias("chunk_index"), F.array(*[F.sin(F.col("id") * k + k) for k in range(1, 5)]).alias("embedding"))
+    asked = vectors.select(F.col("chunk_index").alias("qid"), F.col("embedding").alias("vector"))
+    one, many = (sorted((r.qid, r.chunk_index, round(r.score, 9)) for r in index.dense_scores(asked, vectors, **x).collect()) for x in ({}, {"a_pass": 7}))
+    assert len(many) == 3600 and many == one
+    assert [r.score for r in index.search_dense(index.dense_scores(asked, vectors, a_pass=1), 1, ["qid"]).collect()] == [1.0] * 60
+    assert index.dense_scores(asked.limit(0), vectors).count() == 0
+    # above 100,000 queries
+    few, lots = vectors.limit(2), spark.range(100_002).select(F.col("id").alias("qid"), F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.col("id").cast("double")).alias("vector"))
+    got = index.dense_scores(lots, few)
+    assert got.count() == 200_004 and got.select("qid").distinct().count() == 100_002
