@@ -593,11 +593,10 @@ def best_passage(spark, sf_dir):
 
 @query()
 def enrich_sources(spark, sf_dir):
-    """Citations of documents' beginnings matched back to passages."""
-    c = typed(chunks(spark, sf_dir)).drop("_s").withColumn("final_rank", F.col("chunk_index") + 1).where("final_rank <= 10").withColumn("qid", F.lit(1)).drop("qid")
-    asked = questions(spark, sf_dir).select("qid", "doc_name")
-    passages = c.join(asked, "doc_name")
-    cited = passages.where("final_rank = 3").select("qid", F.lit(1).alias("source_no"), F.lit(None).cast("string").alias("doc_name"), "page_num", F.substring("text", 1, 60).alias("evidence_text"))
+    """A citation of every ranked passage's beginning, matched back to the ranked passages of its question."""
+    columns = ["qid", "final_rank", "doc_name", "page_num", "text", "chunk_type", "section", "subsection", "statement_title", "table_title"]
+    passages = staged(_passages(spark, sf_dir).select(*columns), "passages")
+    cited = passages.select("qid", F.col("final_rank").alias("source_no"), F.lit(None).cast("string").alias("doc_name"), "page_num", F.substring("text", 1, 60).alias("evidence_text"))
     return answer.enrich_sources(cited, passages)
 
 

@@ -36,3 +36,10 @@ def test_evidence_is_gated_and_ranked(spark):
     rows = catalog.QUERIES["ask_questions"](spark, SF).collect()
     assert len(rows) == 25 and {r.gate_status for r in rows} <= {"NO_EVIDENCE", "WEAK_EVIDENCE", "SUFFICIENT_EVIDENCE"}
     assert any(r.gate_status == "SUFFICIENT_EVIDENCE" for r in rows)
+
+
+def test_every_ranked_passage_is_cited_and_matched(spark):
+    ranked = {(r.qid, r.final_rank): r for r in catalog.QUERIES["rerank_scores"](spark, SF).collect()}
+    got = {(r.qid, r.source_no): r for r in catalog.QUERIES["enrich_sources"](spark, SF).collect()}
+    assert set(got) == set(ranked) and any(r.chunk_index >= 10 for r in ranked.values())
+    assert all(r.doc_name == ranked[k].doc_name and r.overlap >= 0.5 for k, r in got.items())
