@@ -48,9 +48,9 @@ def build_index(docs: DataFrame, terms: DataFrame | None = None, *, id_col: str
 
 
 def item_terms(items: DataFrame, *, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item_id, words and len of each distinct item with words."""
+    """item_id, words, len and a key of its own (item_key) of each distinct item with words; one item_id may have several texts."""
     w = items.select(items[id_col].alias("item_id"), words(items[text_col].cast("string")).alias("item_words")).where("item_id is not null and size(item_words) > 0")
-    return stored(w.distinct().withColumn("len", F.size("item_words")), "items")
+    return stored(w.distinct().withColumns({"len": F.size("item_words"), "item_key": F.monotonically_increasing_id()}), "items")
 
 
 def term_counts(postings: DataFrame) -> DataFrame:
@@ -69,6 +69,8 @@ def anchors(items: DataFrame, freq: DataFrame, window: int, rarest: int = 2) ->
 
 def phrase_matches(docs: DataFrame, postings: DataFrame, items: DataFrame, *, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, hits (word positions of the document inside exact occurrences of the item's windows)."""
+    ids = items.select("item_key", F.col("item_id").alias("said_id"))
+    items = items.select(F.col("item_key").alias("item_id"), "item_words", "len")
     picked = anchors(items, term_counts(postings), window)
     lists = postings.join(picked, "term").select("item_id", "doc_id", (F.col("pos") - F.col("ip")).alias("begin"), "ip", "need")
     met = lists.groupBy("item_id", "doc_id", "begin").agg(F.count_distinct("ip").alias("n"), F.max("need").alias("need")).where("n >= need").select("item_id", "doc_id", "begin")
@@ -80,7 +82,7 @@ def phrase_matches(docs: DataFrame, postings: DataFrame, items: DataFrame, *, wi
         F.expr("array_join(transform(item_words, (x, i) -> if(begin + i >= 0 and begin + i < size(doc_words) and get(doc_words, begin + i) = x, '1', '0')), '')").alias("bits"),
     )
     windows = agreed.withColumn("starts", F.expr("filter(sequence(0, len - w), s -> substring(bits, s + 1, w) = repeat('1', w))")).where("size(starts) > 0")
-    return windows.select("doc_id", "item_id", F.expr("transform(filter(sequence(0, len - 1), i -> exists(starts, s -> s <= i and i < s + w)), i -> begin + i)").alias("hits"))
+    return windows.join(ids, windows.item_id == ids.item_key).select("doc_id", F.col("said_id").alias("item_id"), F.expr("transform(filter(sequence(0, len - 1), i -> exists(starts, s -> s <= i and i < s + w)), i -> begin + i)").alias("hits"))
 
 
 def proximity_matches(postings: DataFrame, items: DataFrame, *, span: int, rarest: int = 3) -> DataFrame:

@@ -346,6 +346,13 @@ def test_proximity(spark):
     assert {r.doc_id for r in decontamination.proximity_matches(postings, items, span=10).collect()} == {1, 3}
 
 
+def test_items_that_share_an_id(spark):
+    a, b = ([f"{x}{k}" for k in range(20)] for x in "ab")
+    benchmark = spark.createDataFrame([(1, " ".join(a)), (1, " ".join(b))], "item_id long, text string")
+    got = decontamination.contamination(docs_of(spark, [(7, "x " + " ".join(b) + " y")]), benchmark).collect()
+    assert [(r.n_words, r.n_hit, r.n_items, r.contaminated) for r in got] == [(22, 20, 1, True)]
+
+
 # 8 ---------------------------------------------------------------------------------------------------------------
 
 
