@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pieces_of
+from .common import arrow_map, pieces_of
 
 #: Fixed value: how byte-level BPE splits text (published with the vocabulary).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -61,7 +61,7 @@ def encoding(path: str):
 class WordTable:
     """Distinct words with their ids, filled as words are met, and the pieces by id."""
 
-    def __init__(self, path: str, max_words: int = 300_000):
+    def __init__(self, path: str, max_words: int = 100_000):
         import regex
 
         self.max_words = max_words
@@ -117,7 +117,7 @@ class WordTable:
 _tables: dict[tuple, WordTable] = {}
 
 
-def word_table(path: str, max_words: int = 300_000) -> WordTable:
+def word_table(path: str, max_words: int = 100_000) -> WordTable:
     """One table for each worker and vocabulary."""
     if (path, max_words) not in _tables:
         _tables[path, max_words] = WordTable(path, max_words)
@@ -152,4 +152,4 @@ def encode_decode(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", t
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(docs[id_col].cast("long").alias(id_col), docs[text_col].cast("string").alias(text_col)).mapInArrow(run, schema)
+    return arrow_map(docs.select(docs[id_col].cast("long").alias(id_col), docs[text_col].cast("string").alias(text_col)), run, schema)

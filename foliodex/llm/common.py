@@ -44,6 +44,22 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: The most bytes of an Arrow batch between Spark and Python (a longer row is a batch of its own).
+BATCH_BYTES = 4 << 20
+
+
+def arrow_map(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) in batches of bounded bytes.
+
+    Spark's default of 64 MB is held by the JVM, the pipe and the worker at once, for each core. A setting that
+    the application was started with stays.
+    """
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.sparkContext.getConf().contains(key):
+        spark.conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def pieces_of(batch, column: str, most: int = 4 << 20):
     """Split an Arrow batch into slices of about `most` bytes of text (one row at least).
 

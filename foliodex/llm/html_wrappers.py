@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces_of, stored
+from .common import arrow_map, pieces_of, stored
 
 # HTML's void, raw-text and inline elements, and names by which pages mark what is no content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -497,7 +497,7 @@ def infer_wrappers(pages: DataFrame, *, fan_in: int = 32) -> DataFrame:
             found = align(found, json.loads(w))
         return pa.table({"host": [rows.column("host")[0].as_py()], "wrapper": [json.dumps(found, ensure_ascii=False)], "bare": [any(rows.column("bare").to_pylist())]})
 
-    left = stored(pages.mapInArrow(shapes, schema).distinct(), "shapes")
+    left = stored(arrow_map(pages, shapes, schema).distinct(), "shapes")
     while True:
         counts = left.groupBy("host").count()
         most = counts.agg(F.max("count")).first()[0] or 0
@@ -540,7 +540,7 @@ def infer_constants(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
                         rows.extend((h, k, t, key) for k, t in {(s[0], digest(s[1])) for s in parser.slots(stream, bound) if s})
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["host", "slot", "text", "page"])
 
-    bound = pages.join(wrappers.where("bare").select("host", "wrapper"), "host").select("host", "html", "wrapper").mapInArrow(run, "host string, slot long, text long, page long")
+    bound = arrow_map(pages.join(wrappers.where("bare").select("host", "wrapper"), "host").select("host", "html", "wrapper"), run, "host string, slot long, text long, page long")
     bound = stored(bound.distinct(), "bound")
     texts = bound.groupBy("host", "slot", "text").agg(F.count("*").alias("n")).where("n >= 2")
     slots = bound.select("host", "slot", "page").distinct().groupBy("host", "slot").agg(F.count("*").alias("n"))
@@ -577,7 +577,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
                 )
 
     joined = rows.join(wrappers, "host", "left").select(id_col, url_col, "html", "wrapper", "constants")
-    return joined.mapInArrow(run, f"`{id_col}` long, `{url_col}` string, text string, n_chars long, matched boolean")
+    return arrow_map(joined, run, f"`{id_col}` long, `{url_col}` string, text string, n_chars long, matched boolean")
 
 
 #: The driver's pages have one kind of article, for which SQL can say what is to come out.

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces_of
+from .common import arrow_map, pieces_of
 
 HIDDEN = 8
 PIECE = 30
@@ -231,4 +231,4 @@ def identify(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([x.column(id_col), x.column("held_out"), pa.array(pred, pa.string()), pa.array(score, pa.float64())], [id_col, "held_out", "lang_pred", "score"])
 
     slim = docs.select(docs[id_col].cast("long").alias(id_col), held_out(docs[id_col]).alias("held_out"), docs[text_col].cast("string").alias(text_col))
-    return slim.mapInArrow(run, f"`{id_col}` long, held_out boolean, lang_pred string, score double")
+    return arrow_map(slim, run, f"`{id_col}` long, held_out boolean, lang_pred string, score double")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, pieces_of, stored
+from .common import ASCII_LOWER, arrow_map, pieces_of, stored
 from .components import components
 
 HASHES, BANDS, ROWS = 96, 24, 4
@@ -42,7 +42,7 @@ class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) >= 50_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -130,7 +130,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame
                 )
 
     slim = docs.select(docs[id_col].cast("long").alias(id_col), docs[text_col].cast("string").alias(text_col))
-    return slim.mapInArrow(run, "doc_id long, n_shingles long, hi long, lo long, sig binary, bands array<long>")
+    return arrow_map(slim, run, "doc_id long, n_shingles long, hi long, lo long, sig binary, bands array<long>")
 
 
 def _rows(values: list[bytes]) -> np.ndarray:
@@ -148,7 +148,7 @@ def _of_texts(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: in
             for x in pieces_of(whole, "text"):
                 yield pa.RecordBatch.from_arrays([x.column("doc_id"), pa.array([make(shingle_set(t, n)) for t in x.column("text").to_pylist()], pa.binary())], ["doc_id", name])
 
-    return slim.join(ids, "doc_id", "left_semi").mapInArrow(run, f"doc_id long, {name} binary").dropDuplicates(["doc_id"])
+    return arrow_map(slim.join(ids, "doc_id", "left_semi"), run, f"doc_id long, {name} binary").dropDuplicates(["doc_id"])
 
 
 def _likely(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
@@ -162,7 +162,7 @@ def _likely(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
 
     sig = sigs.select("doc_id", "sig")
     both = pairs.join(sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b")
-    return both.mapInArrow(run, "a long, b long")
+    return arrow_map(both, run, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
@@ -184,43 +184,48 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, n:
                 good.append(100 * common >= percent * (len(p) + len(q) - common) and common > 0)
             yield x.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return arrow_map(both, run, "a long, b long")
 
 
 def _mixed(banded: DataFrame, labels: DataFrame) -> DataFrame:
-    """band, doc_id, component, largest of the members of buckets of three or more in different components."""
+    """band, doc_id, component, m, largest, u of the members of buckets of three or more in different components.
+
+    m: members of the bucket, largest: the component with most of them, u: those outside it.
+    """
     named = banded.join(labels, banded.doc_id == labels.id, "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    mixed = named.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x <> y and m > 2")
-    inside = named.join(mixed.select("band", "m"), "band")
-    most = inside.groupBy("band", "component").count().groupBy("band").agg(F.max(F.struct("count", "component")).alias("most")).select("band", F.col("most.component").alias("largest"))
-    return inside.join(most, "band")
+    parts = named.groupBy("band", "component").agg(F.count("*").alias("n"))
+    buckets = parts.groupBy("band").agg(F.sum("n").alias("m"), F.max(F.struct("n", "component")).alias("most")).where("m > 2 and m > most.n")
+    return named.join(buckets.select("band", "m", F.col("most.component").alias("largest"), (F.col("m") - F.col("most.n")).alias("u")), "band")
 
 
 def _left_over(inside: DataFrame, signed: DataFrame, least: float, each: int | None) -> DataFrame:
     """Likely pairs of members of one bucket in different components.
 
     Members outside their bucket's largest component are held against all members, block by block, by longer
-    signatures; a pair comes out of the first band that it shares. With `each`, only that many of the likeliest
+    signatures; a pair comes out of the first band that it shares. Both sides' blocks are written, so that adaptive
+    execution can split a large bucket's blocks over tasks. With `each`, only that many of the likeliest
     pairs of a member with another component in a block come out: one link is enough to join them, and what they leave
     unjoined is asked again without that bound.
     """
-    full = stored(inside.join(signed, "doc_id"), "buckets")
-    item = F.struct("doc_id", "component", "sig", "long")
-    asked = full.where("component <> largest")
-    asked = asked.join(asked.groupBy("band").agg(F.count("*").alias("u")), "band")
-    part = lambda size: F.pmod(F.xxhash64("doc_id"), F.ceil(F.col(size) / BLOCK))
-    q = asked.groupBy("band", part("u").alias("qb")).agg(F.collect_list(item).alias("q"))
-    m = full.groupBy("band", part("m").alias("mb")).agg(F.collect_list(item).alias("r"))
+
+    def blocks(members: DataFrame, size: str, name: str) -> DataFrame:
+        part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col(size) / BLOCK)).alias("part")
+        wide = members.select("band", "doc_id", "component", part).join(signed, "doc_id")
+        made = wide.groupBy("band", "part").agg(F.collect_list(F.struct("doc_id", "component", "sig", "long")).alias(name))
+        return stored(made.select("band", name), f"blocks_{name}")
+
+    q, m = blocks(inside.where("component <> largest"), "u", "asked"), blocks(inside, "m", "members")
 
     def run(batches):
         def side(items):
-            ids, kinds = (np.array([x[k] for x in items], np.int64) for k in ("doc_id", "component"))
-            return ids, kinds, _rows([x["sig"] for x in items]).view("<u4"), _rows([x["long"] for x in items])
+            items = items.values
+            ids, kinds = (items.field(k).to_numpy() for k in ("doc_id", "component"))
+            return ids, kinds, _rows(items.field("sig").to_pylist()).view("<u4"), _rows(items.field("long").to_pylist())
 
         for x in batches:
             for k in range(x.num_rows):
                 first = x.column("band")[k].as_py() >> 32
-                (qi, qc, qs, ql), (ri, rc, rs, rl) = side(x.column("q")[k].as_py()), side(x.column("r")[k].as_py())
+                (qi, qc, qs, ql), (ri, rc, rs, rl) = side(x.column("asked")[k]), side(x.column("members")[k])
                 low, high = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
                 for i in range(len(qi)):
                     score = estimate(ql[i], rl, LONG_BITS)
@@ -235,7 +240,7 @@ def _left_over(inside: DataFrame, signed: DataFrame, least: float, each: int | N
                     high.append(np.maximum(qi[i], ri[near]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in (low, high)], ["a", "b"])
 
-    return q.join(m, "band").mapInArrow(run, "a long, b long").distinct()
+    return arrow_map(q.join(m, "band"), run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:

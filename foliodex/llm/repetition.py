@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pieces_of
+from .common import arrow_map, pieces_of
 
 SYMBOLS = "#*$%&|<>"
 SPACE = " \t\n\x0b\x0c\r"
@@ -161,7 +161,7 @@ def repetition_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 v = _verdicts(batch.column(text_col).to_pylist(), min_words, max_covered, max_longest)
                 yield pa.RecordBatch.from_arrays([batch.column(id_col), *(pa.array(v[k]) for k in names)], [id_col, *names])
 
-    return docs.select(docs[id_col].cast("long").alias(id_col), docs[text_col].cast("string").alias(text_col)).mapInArrow(run, SCHEMA.replace("doc_id", f"`{id_col}`", 1))
+    return arrow_map(docs.select(docs[id_col].cast("long").alias(id_col), docs[text_col].cast("string").alias(text_col)), run, SCHEMA.replace("doc_id", f"`{id_col}`", 1))
 
 
 def keep_good(docs: DataFrame, *, text_col: str = "text", min_words: int = 8, max_covered: float = 0.5, max_longest: float = 0.35) -> DataFrame:
@@ -172,4 +172,4 @@ def keep_good(docs: DataFrame, *, text_col: str = "text", min_words: int = 8, ma
             for batch in pieces_of(whole, text_col, 1 << 20):
                 yield batch.filter(pa.array(_verdicts(batch.column(text_col).to_pylist(), min_words, max_covered, max_longest)["kept"]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)

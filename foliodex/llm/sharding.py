@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import arrow_map, scratch
 
 
 def numbered_ranges(df: DataFrame, by: list[str], label: str) -> DataFrame:
@@ -35,7 +35,7 @@ def numbered_ranges(df: DataFrame, by: list[str], label: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.arange(done + 1, done + 1 + batch.num_rows))], [*batch.schema.names, "place"])
             done += batch.num_rows
 
-    ranged = df.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(number, f"{fields}, place long").withColumn("part", F.spark_partition_id())
+    ranged = arrow_map(df.repartitionByRange(*by).sortWithinPartitions(*by), number, f"{fields}, place long").withColumn("part", F.spark_partition_id())
     path = scratch(df.sparkSession, label)
     ranged.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(ranged.schema).parquet(path)
@@ -56,9 +56,7 @@ def byte_shards(docs: DataFrame, shards: int, *, id_col: str = "doc_id", text_co
     every = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("part", F.coalesce(F.sum("part_size").over(every), F.lit(0)).alias("offset"), F.sum("part_size").over(Window.partitionBy()).alias("total"))
     placed = within.join(F.broadcast(offsets), "part")
-    before = F.col("offset") + F.col("so_far") - F.col("size")
     placed = placed.withColumn("shard", F.least(F.lit(shards - 1), F.expr(f"(2 * (offset + so_far - size) + size) * {shards} div (2 * total)")).cast("int"))
-    del before
     # slots: a shard's rows in earlier partitions, then the place within this one; at most partitions + shards rows
     counts = placed.groupBy("shard", "part").agg(F.count("*").alias("rows"), F.min("place").alias("first"))
     firsts = counts.select("shard", "part", (F.coalesce(F.sum("rows").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("first")).alias("shift"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces_of, stored
+from .common import arrow_map, pieces_of, stored
 
 WIDTH_STEPS = ((1, 2), (2, 4), (4, 8), (8, 16))
 AT_SPACE = int(2**32 / 5.2)
@@ -94,7 +94,7 @@ def chunk_rows(texts: DataFrame) -> DataFrame:
                         [pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(starts).astype(np.int32))], ["digest", "owner", "at"]
                     )
 
-    return texts.mapInArrow(run, "digest long, owner long, at int")
+    return arrow_map(texts, run, "digest long, owner long, at int")
 
 
 def repeated_runs(raw: bytes, repeats: list[int], min_bytes: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
@@ -150,5 +150,5 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([x.column("others"), pa.array(texts, pa.string()), *columns], ["others", "text", "n_chunks", "n_repeated_chunks", "n_bytes", "removed_bytes"])
 
     fields = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text_col)
-    done = joined.mapInArrow(run, f"others struct<{fields}>, text string, n_chunks long, n_repeated_chunks long, n_bytes long, removed_bytes long")
+    done = arrow_map(joined, run, f"others struct<{fields}>, text string, n_chunks long, n_repeated_chunks long, n_bytes long, removed_bytes long")
     return done.select(*[F.col("text").alias(c) if c == text_col else F.col(f"others.`{c}`").alias(c) for c in docs.columns], *[c for c in ("n_chunks", "n_repeated_chunks", "n_bytes", "removed_bytes")])

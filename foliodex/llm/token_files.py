@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoding
-from .common import pieces_of
+from .common import arrow_map, pieces_of
 
 FILE_SCHEMA = "doc_id long, local_start long, n_tokens long, ids array<int>"
 
@@ -42,7 +42,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, *, id_col: st
                 before = int(ends[-1])
 
     rows = docs.select(docs[id_col].cast("long").alias(id_col), docs[text_col].cast("string").alias(text_col))
-    encoded = rows.repartitionByRange(id_col).sortWithinPartitions(id_col, text_col).mapInArrow(run, FILE_SCHEMA)
+    encoded = arrow_map(rows.repartitionByRange(id_col).sortWithinPartitions(id_col, text_col), run, FILE_SCHEMA)
     (
         encoded.write.option("compression", "zstd")
         .option("parquet.writer.version", "PARQUET_2_0")
@@ -77,4 +77,4 @@ def checksums(tokens: DataFrame) -> DataFrame:
             sums = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(np.concatenate(([0], ends[:-1])).tolist(), ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return tokens.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return arrow_map(tokens, run, "doc_id long, start long, n_tokens long, ids_crc32 long")

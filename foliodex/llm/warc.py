@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import arrow_map, stored
 
 #: Fixed values of WARC 1.1 for the header lines written here.
 VERSION = "WARC/1.1"
@@ -167,7 +167,7 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
 
     types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(run, schema)
+    return arrow_map(files, run, schema)
 
 
 def read_records(segments: DataFrame) -> DataFrame:
@@ -208,7 +208,7 @@ def read_records(segments: DataFrame) -> DataFrame:
 
     types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()]
     sorted_rows = segments.repartition("record_id").sortWithinPartitions("record_id", "chunk")
-    return sorted_rows.mapInArrow(run, short)
+    return arrow_map(sorted_rows, run, short)
 
 
 def round_trip(pages: DataFrame, path: str, **options) -> DataFrame:
