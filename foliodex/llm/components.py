@@ -11,21 +11,25 @@ from .common import shared_dir
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """id, component (smallest id reachable) for every id that an edge names.
 
-    Each round takes the smallest label among a vertex and its neighbours, then the label of
-    that label, so labels travel twice as far each time. Sums meet per vertex after a
-    partial aggregation; a vertex with very many edges is only ever the key of a join, which
-    adaptive execution splits. checkpoint() keeps each round's labels in the shared folder.
+    Each round gives a vertex the smallest label among its own and its neighbours'; from the third on also the label
+    of that label, so that labels travel twice as far each time where paths are long. Labels stay partitioned by id
+    through checkpoint(), which keeps each round in the shared folder, so a round shuffles the edges once, and the minima, which
+    meet per vertex after a partial aggregation. A vertex with very many edges is only ever the
+    key of the join, which adaptive execution splits.
     """
     shared_dir(edges.sparkSession)
     one = edges.select(F.col(a).alias("src"), F.col(b).alias("dst")).where("src <> dst")
-    both = one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().checkpoint()
+    both = one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     labels = both.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("id"), F.least("src", "m").alias("component")).checkpoint()
+    turn = 0
     while True:
+        turn += 1
         near = both.join(labels.select(F.col("id").alias("dst"), "component"), "dst").groupBy("src").agg(F.min("component").alias("near"))
-        met = labels.join(near, labels.id == near.src).select("id", F.col("component").alias("was"), F.least("component", "near").alias("component"))
-        up = labels.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        new = met.join(up, "component").select("id", "was", F.least("component", "further").alias("component")).checkpoint()
-        moved = new.where("was <> component").limit(1).count()
+        new = labels.join(near, labels.id == near.src).select("id", F.col("component").alias("was"), F.least("component", "near").alias("component"))
+        if turn > 2:
+            up = labels.select(F.col("id").alias("component"), F.col("component").alias("further"))
+            new = new.join(up, "component").select("id", "was", F.least("component", "further").alias("component"))
+        new = new.checkpoint()
+        if new.where("was <> component").isEmpty():
+            return new.select("id", "component")
         labels = new.select("id", "component")
-        if not moved:
-            return labels

@@ -32,6 +32,8 @@ from .components import components
 HASHES, BANDS, ROWS = 96, 24, 4
 #: Hashes and bits of the longer signatures by which members of mixed buckets are compared, and members a block.
 LONG, LONG_BITS, BLOCK = 4096, 2, 256
+#: So many pairs of a member with one other component come out of a block at first; a second pass has the others.
+EACH = 32
 #: So many ids are sent to every task to pick their texts; more of them meet the texts by a shuffle.
 MOST_IDS = 2_000_000
 
@@ -103,52 +105,50 @@ def spread(limit: float, hashes: int, bits: int) -> float:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit digest of the set (hi, lo), the packed signature and its band keys."""
+    """doc_id, n_shingles, a 128-bit digest of the set (hi, lo) and the packed signature."""
 
     def run(batches):
         import xxhash
 
         a, b = _coefficients()
-        band = np.arange(BANDS, dtype=np.int64) << 32
         for whole in batches:
             for batch in pieces_of(whole, text_col):
-                sizes, hi, lo, packed, keys = [], [], [], [], []
+                sizes, hi, lo, packed = [], [], [], []
                 for text in batch.column(text_col).to_pylist():
                     s = shingle_set(text, n)
                     digest = xxhash.xxh3_128_digest(s.tobytes())
                     sizes.append(len(s))
                     hi.append(int.from_bytes(digest[:8], "little", signed=True))
                     lo.append(int.from_bytes(digest[8:], "little", signed=True))
-                    sig = signature(s, a, b)
-                    packed.append(sig.tobytes())
-                    keys.append(band | sig.view("<u4").astype(np.int64))
-                flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
-                offsets = np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)
+                    packed.append(signature(s, a, b).tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(id_col), pa.array(sizes, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(packed, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                    ["doc_id", "n_shingles", "hi", "lo", "sig", "bands"],
+                    [batch.column(id_col), pa.array(sizes, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(packed, pa.binary())],
+                    ["doc_id", "n_shingles", "hi", "lo", "sig"],
                 )
 
     slim = docs.select(docs[id_col].cast("long").alias(id_col), docs[text_col].cast("string").alias(text_col))
-    return arrow_map(slim, run, "doc_id long, n_shingles long, hi long, lo long, sig binary, bands array<long>")
+    return arrow_map(slim, run, "doc_id long, n_shingles long, hi long, lo long, sig binary")
 
 
 def _rows(values: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(values), "<u8").reshape(len(values), -1)
 
 
-def _of_texts(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, make, name: str) -> DataFrame:
-    """(doc_id, name binary): make(shingle set) of the documents that ids (doc_id, distinct) names, and of no others."""
-    if ids.count() <= MOST_IDS:
+def _of_texts(ids: DataFrame, most: int, docs: DataFrame, id_col: str, text_col: str, n: int, **make) -> DataFrame:
+    """(doc_id, a binary column for each make(shingle set)) of the documents that ids (doc_id, `most` at most) names, and of no others."""
+    ids = ids.distinct()
+    if most <= MOST_IDS:
         ids = F.broadcast(ids)
     slim = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
     def run(batches):
         for whole in batches:
             for x in pieces_of(whole, "text"):
-                yield pa.RecordBatch.from_arrays([x.column("doc_id"), pa.array([make(shingle_set(t, n)) for t in x.column("text").to_pylist()], pa.binary())], ["doc_id", name])
+                sets = [shingle_set(t, n) for t in x.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([x.column("doc_id"), *(pa.array([f(k) for k in sets], pa.binary()) for f in make.values())], ["doc_id", *make])
 
-    return arrow_map(slim.join(ids, "doc_id", "left_semi"), run, f"doc_id long, {name} binary").dropDuplicates(["doc_id"])
+    found = arrow_map(slim.join(ids, "doc_id", "left_semi"), run, "doc_id long, " + ", ".join(f"{k} binary" for k in make))
+    return stored(found.dropDuplicates(["doc_id"]), "of_texts")
 
 
 def _likely(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
@@ -165,14 +165,11 @@ def _likely(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
     return arrow_map(both, run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
-    """Of pairs (a < b), those with 100 * intersection >= percent * union of their full sets.
+def confirmed(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a < b), those with 100 * intersection >= percent * union of their full sets, which known (doc_id, shingles) has.
 
-    Sets are made of the texts of the documents that a pair names, and of no others. A pair's a side is
-    its smaller id, so the sets of one a side travel once for each part of at most a few hundred pairs.
+    Sets meet their pairs in Arrow batches of bounded bytes; no more than a batch of them is held at a time.
     """
-    named = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "named")
-    known = stored(_of_texts(named, docs, id_col, text_col, n, np.ndarray.tobytes, "shingles"), "sets")
     both = pairs.join(known.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a").join(known.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b")
 
     def run(batches):
@@ -204,13 +201,13 @@ def _left_over(inside: DataFrame, signed: DataFrame, least: float, each: int | N
     Members outside their bucket's largest component are held against all members, block by block, by longer
     signatures; a pair comes out of the first band that it shares. Both sides' blocks are written, so that adaptive
     execution can split a large bucket's blocks over tasks. With `each`, only that many of the likeliest
-    pairs of a member with another component in a block come out: one link is enough to join them, and what they leave
-    unjoined is asked again without that bound.
+    pairs of a member with another component in a block come out: one link is enough to join them. Where that leaves
+    pairs out, a row (null, band) says so, and what is still unjoined in that band is asked again without the bound.
     """
 
     def blocks(members: DataFrame, size: str, name: str) -> DataFrame:
         part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col(size) / BLOCK)).alias("part")
-        wide = members.select("band", "doc_id", "component", part).join(signed, "doc_id")
+        wide = members.select("band", "doc_id", "component", part).join(signed.select("doc_id", "sig", "long"), "doc_id")
         made = wide.groupBy("band", "part").agg(F.collect_list(F.struct("doc_id", "component", "sig", "long")).alias(name))
         return stored(made.select("band", name), f"blocks_{name}")
 
@@ -226,7 +223,7 @@ def _left_over(inside: DataFrame, signed: DataFrame, least: float, each: int | N
             for k in range(x.num_rows):
                 first = x.column("band")[k].as_py() >> 32
                 (qi, qc, qs, ql), (ri, rc, rs, rl) = side(x.column("asked")[k]), side(x.column("members")[k])
-                low, high = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+                low, high, cut = [np.empty(0, np.int64)], [np.empty(0, np.int64)], False
                 for i in range(len(qi)):
                     score = estimate(ql[i], rl, LONG_BITS)
                     near = np.flatnonzero((rc != qc[i]) & (score >= least))
@@ -235,10 +232,14 @@ def _left_over(inside: DataFrame, signed: DataFrame, least: float, each: int | N
                         near = near[np.lexsort((-score[near], rc[near]))]
                         kinds = rc[near]
                         starts = np.flatnonzero(np.append(True, kinds[1:] != kinds[:-1]))
-                        near = near[np.arange(len(near)) - np.repeat(starts, np.diff(np.append(starts, len(near)))) < each]
+                        few = np.arange(len(near)) - np.repeat(starts, np.diff(np.append(starts, len(near)))) < each
+                        cut |= not few.all()
+                        near = near[few]
                     low.append(np.minimum(qi[i], ri[near]))
                     high.append(np.maximum(qi[i], ri[near]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in (low, high)], ["a", "b"])
+                if cut:
+                    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), x.column("band")[k : k + 1]], ["a", "b"])
 
     return arrow_map(q.join(m, "band"), run, "a long, b long").distinct()
 
@@ -250,33 +251,37 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     least, least_long = (limit - 4.5 * spread(limit, k, bits) for k, bits in ((HASHES, 8), (LONG, LONG_BITS)))
     sigs = stored(signatures(docs, id_col, text_col, words), "signatures")
     able = sigs.where("n_shingles > 0 and doc_id is not null")
-    classes = able.groupBy("hi", "lo").agg(F.min("doc_id").alias("head"))
-    firsts = able.join(classes.select(F.col("head").alias("doc_id"), "hi", "lo"), ["doc_id", "hi", "lo"], "left_semi").dropDuplicates(["doc_id"])
-    firsts = stored(firsts.select("doc_id", "sig", "bands"), "firsts")
-    banded = firsts.select("doc_id", F.explode("bands").alias("band"))
+    firsts = stored(able.groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"), F.min_by("sig", "doc_id").alias("sig")), "firsts")
+    keys = [F.lit(k << 32).bitwiseOR(F.conv(F.hex(F.substring("sig", ROWS * k + 1, ROWS)), 16, 10).cast("long")) for k in range(BANDS)]
+    banded = firsts.select("doc_id", F.explode(F.array(*keys)).alias("band"))
     pivots = banded.groupBy("band").agg(F.min(F.struct(F.xxhash64("doc_id", "band").alias("h"), "doc_id")).alias("p"), F.count("*").alias("m")).where("m > 1").select("band", F.col("p.doc_id").alias("pivot"))
     shared = stored(banded.join(pivots, "band"), "shared")
     pairs = stored(shared.where("doc_id <> pivot").select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct(), "pairs")
-    links = stored(confirmed(stored(_likely(pairs, firsts, least), "likely"), docs, id_col, text_col, words, percent), "links")
+    likely = stored(_likely(pairs, firsts, least), "likely")
+    named = likely.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    links = stored(confirmed(likely, _of_texts(named, 2 * likely.count(), docs, id_col, text_col, words, shingles=np.ndarray.tobytes), percent), "links")
     labels = components(links)
     # what the pivots left: first the likeliest pairs between components, then all that are still between components
-    banded = shared.select("band", "doc_id")
-    inside = stored(_mixed(banded, labels), "inside")
-    a, b = _coefficients(LONG)
-    long = _of_texts(stored(inside.select("doc_id").distinct(), "members"), docs, id_col, text_col, words, lambda s: signature(s, a, b, LONG_BITS).tobytes(), "long")
-    signed = stored(firsts.select("doc_id", "sig").join(long, "doc_id"), "signed")
+    inside = stored(_mixed(shared.select("band", "doc_id"), labels), "inside")
+    short, long = _coefficients(), _coefficients(LONG)
+    signed = _of_texts(
+        inside.select("doc_id"), inside.count(), docs, id_col, text_col, words,
+        sig=lambda s: signature(s, *short).tobytes(), long=lambda s: signature(s, *long, LONG_BITS).tobytes(), shingles=np.ndarray.tobytes,
+    )
     tested = pairs
-    for each in (2, None):
+    for each in (EACH, None):
         rest = stored(_left_over(inside, signed, least_long, each).join(tested, ["a", "b"], "left_anti"), "rest")
-        if not rest.isEmpty():
-            more = stored(confirmed(rest, docs, id_col, text_col, words, percent), "links")
+        more = stored(confirmed(rest.where("a is not null"), signed, percent), "links")
+        if not more.isEmpty():
             links = links.unionByName(more)
             labels = components(links)
-        if each is not None:
-            tested = tested.unionByName(rest)
-            inside = stored(_mixed(inside.select("band", "doc_id"), labels), "inside")
+        cut = rest.where("a is null").select(F.col("b").alias("band"))
+        if each is None or cut.isEmpty():
+            break
+        inside = stored(_mixed(inside.select("band", "doc_id").join(cut, "band", "left_semi"), labels), "inside")
+        tested = tested.unionByName(rest)
     # an exact copy's component is that of its class
-    of_class = classes.join(labels, classes["head"] == labels["id"], "left").select("hi", "lo", F.coalesce("component", "head").alias("component_id"))
+    of_class = firsts.join(labels, firsts["doc_id"] == labels["id"], "left").select("hi", "lo", F.coalesce("component", "doc_id").alias("component_id"))
     out = sigs.select("doc_id", "n_shingles", "hi", "lo").join(of_class, ["hi", "lo"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
