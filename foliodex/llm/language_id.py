@@ -1,16 +1,19 @@
 """Operator 9, language identification by a bidirectional gated recurrent network over bytes.
 
-The network is trained here, in numpy, by backpropagation through time. It reads a word's bytes between two
-spaces (words of over 30 bytes in pieces) in both directions and labels every position with a
-distribution over the languages; a document's probabilities are the normalised geometric mean of
-those of all its positions. As the state begins anew at white space, a distinct word is run once per worker for as
-long as it stays in a bounded table, and whole texts of any length are pooled.
+The network is trained here, in numpy, by backpropagation through time. It reads a text's bytes in both directions, white
+space and all, and labels every position with a distribution over the languages; a document's probabilities are
+the normalised geometric mean of those of all its positions.
+
+Texts of any length run as windows of CORE bytes, side by side, each with HALO bytes of the text before and after it: the states
+run in over the halos, whose labels are not used, so every position is labelled once and has at least HALO bytes of
+context on either side (or the text's end). Windows are ordered by length, so that none is padded. Where a cut falls in a
+character does not matter, as the bytes before it are read too.
 
 Training rows: documents with a language whose crc32 of the id, as text, is not 2 modulo 4, of them about `per_lang` per
-language, picked by a hash of the id (a documented bound for fitting; predictions read every row). Words are drawn from the sample
-with equal weight for each language.
+language, picked by a hash of the id, and of each `per_text` characters from a hashed place on (documented bounds for fitting;
+predictions read every byte of every row). Windows are drawn from the sample with equal weight for each language.
 
-Cases: a null text, or one without a letter, is `und` with score 0; so is every text if no row has a language. A null
+Cases: a null text, or one without a letter (Unicode category L), is `und` with score 0; so is every text if no row has a language. A null
 id is never trained on and not held out. Rows that repeat get the same answer; an empty table gives an empty one; other columns are not read.
 """
 
@@ -24,18 +27,13 @@ from pyspark.sql import functions as F
 from .common import arrow_map, pieces_of
 
 HIDDEN = 8
-PIECE = 30
+CORE, HALO = 1024, 64
 
 
 def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def framed(word: bytes) -> list[bytes]:
-    """A word between spaces, in pieces that the network reads."""
-    return [b" " + word[k : k + PIECE] + b" " for k in range(0, len(word), PIECE)]
-
-
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.float32(0.5) * (np.tanh(np.float32(0.5) * x) + np.float32(1))
 
@@ -115,30 +113,20 @@ def gradients(p: dict, x: np.ndarray, label: np.ndarray) -> tuple[float, dict[st
     return loss, g
 
 
-def train(samples: dict[str, list[str]], *, steps: int = 400, batch: int = 384, rate: float = 0.02, seed: int = 9) -> dict:
-    """Parameters fitted to texts by language (Adam over batches of pieces of one length)."""
+def train(samples: dict[str, list[str]], *, steps: int = 300, batch: int = 192, length: int = 64, rate: float = 0.02, seed: int = 9) -> dict:
+    """Parameters fitted to texts by language (Adam over batches of windows of `length` bytes)."""
     languages = sorted(samples)
     rng = np.random.default_rng(seed)
     p = new_params(len(languages), rng)
-    pool = [[piece for text in samples[k] for w in text.encode("utf-8").split() for piece in framed(w)] for k in languages]
-    pool = [x for x in pool if x] or [[b"  "]]
-    by_length: list[dict[int, np.ndarray]] = []
-    lengths = np.concatenate([np.fromiter(map(len, x), np.int64, len(x)) for x in pool])
-    for x in pool:
-        groups: dict[int, list[bytes]] = {}
-        for piece in x:
-            groups.setdefault(len(piece), []).append(piece)
-        by_length.append({k: np.frombuffer(b"".join(v), np.uint8).reshape(-1, k) for k, v in groups.items()})
+    # a language's texts stand one behind the other
+    pool = [np.frombuffer(b" ".join(t.encode("utf-8") for t in samples[k]).ljust(length + 1), np.uint8) for k in languages]
+    each = max(1, batch // max(1, len(pool)))
+    labels = np.repeat(np.arange(len(pool)), each)
     m = {k: np.zeros_like(v) for k, v in p.items()}
     s = {k: np.zeros_like(v) for k, v in p.items()}
-    for step in range(1, steps + 1):
-        size = int(rng.choice(lengths))
-        rows, labels = [], []
-        for k, groups in enumerate(by_length):
-            if size in groups:
-                rows.append(groups[size][rng.integers(0, len(groups[size]), max(1, batch // len(pool)))])
-                labels.append(np.full(len(rows[-1]), k))
-        _, g = gradients(p, np.concatenate(rows), np.concatenate(labels))
+    for step in range(1, steps + 1 if pool else 1):
+        rows = np.concatenate([x[rng.integers(0, len(x) - length, each)[:, None] + np.arange(length)] for x in pool])
+        _, g = gradients(p, rows, labels)
         pace = rate * min(1, 2 * (1 - step / (steps + 1)))
         for k in p:
             m[k] += 0.1 * (g[k] - m[k])
@@ -148,52 +136,104 @@ def train(samples: dict[str, list[str]], *, steps: int = 400, batch: int = 384,
 
 
 class Reader:
-    """Sums of log-probabilities by word, each distinct word run once while the table holds it."""
-
-    def __init__(self, model: dict, most: int = 500_000):
-        self.p, self.languages, self.most = model["params"], model["languages"], most
-        self.begin()
-
-    def begin(self) -> None:
-        self.code: dict[bytes, int] = {}
-        self.sums = np.zeros((0, len(self.languages) + 1))
-
-    def learn(self, words: list[bytes]) -> None:
-        pieces = [(k, x) for k, w in enumerate(words) for x in framed(w)]
-        sums = np.zeros((len(words), len(self.languages) + 1))
-        by_length: dict[int, list[tuple[int, bytes]]] = {}
-        for k, x in pieces:
-            by_length.setdefault(len(x), []).append((k, x))
-        for size, group in by_length.items():
-            for at in range(0, len(group), 4096):
-                some = group[at : at + 4096]
-                y = log_probs(self.p, np.frombuffer(b"".join(x for _, x in some), np.uint8).reshape(-1, size))
-                where = np.fromiter((k for k, _ in some), np.int64, len(some))
-                np.add.at(sums, where, np.concatenate((y.sum(axis=1), np.full((len(some), 1), size, np.float32)), axis=1))
-        base = len(self.sums)
-        self.code.update({w: base + k for k, w in enumerate(words)})
-        self.sums = np.concatenate((self.sums, sums))
+    """Pooled log-probabilities of whole texts, by windows that run side by side."""
+
+    def __init__(self, model: dict):
+        self.p = p = model["params"]
+        self.languages = model["languages"]
+        # everything lies as (feature, window); gates z and r by one tanh: sigmoid(x) = (1 + tanh(x / 2)) / 2
+        self.weights = {}
+        for d in "fb" if p else "":
+            size = p[f"u{d}"].shape[0]
+            half = np.r_[np.full(2 * size, 0.5, np.float32), np.ones(size, np.float32)]
+            x, u = (p[f"x{d}"] * half).T, (p[f"u{d}"] * half).T
+            self.weights[d] = np.ascontiguousarray(x), np.ascontiguousarray(u[: 2 * size]), np.ascontiguousarray(u[2 * size :])
+
+    def _states(self, d: str, rows: np.ndarray, alive: np.ndarray):
+        """Yields (step, states) of the windows that still run; rows (steps, windows) begin where the direction does."""
+        x, ug, um = self.weights[d]
+        size = len(um)
+        h = np.zeros((size, rows.shape[1]), np.float32)
+        for t, n in enumerate(alive.tolist()):
+            if n < h.shape[1]:
+                h = np.ascontiguousarray(h[:, :n])
+            a = x.take(rows[t, :n], axis=1, mode="clip")
+            g = a[: 2 * size]
+            g += ug @ h
+            np.tanh(g, out=g)
+            g *= np.float32(0.5)
+            g += np.float32(0.5)
+            m = a[2 * size :]
+            m += um @ (g[size:] * h)
+            np.tanh(m, out=m)
+            m -= h
+            m *= g[:size]
+            h += m
+            yield t, h
+
+    def _windows(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Sums of log-probabilities over the cores [low, high) of windows [begin, end) of data."""
+        by = np.argsort(begin - end, kind="stable")
+        begin, end, low, high = begin[by], end[by], low[by], high[by]
+        size = end - begin
+        steps = np.arange(int(size[0]))
+        alive = np.searchsorted(-size, -steps, side="left")
+        v, c = np.ascontiguousarray(self.p["v"].T), self.p["c"][:, None]
+        half = v.shape[1] // 2
+        vf, vb = np.ascontiguousarray(v[:, :half]), np.ascontiguousarray(v[:, half:])
+        last = len(data) - 1
+        # back[k, j]: what the backward states give at step k of the forward direction
+        back = np.empty((len(steps), len(c), len(by)), np.float32)
+        whole = np.searchsorted(-size, -size[0], side="right")  # windows of full length need no index
+        for t, h in self._states("b", data[np.clip(end - 1 - steps[:, None], 0, last)], alive):
+            y = vb @ h
+            back[len(steps) - 1 - t, :, :whole] = y[:, :whole]
+            if y.shape[1] > whole:
+                j = np.arange(whole, y.shape[1])
+                back[size[j] - 1 - t, :, j] = y[:, whole:].T
+        total = np.zeros((len(c), len(by)))
+        for t, h in self._states("f", data[np.clip(begin + steps[:, None], 0, last)], alive):
+            n = h.shape[1]
+            at = begin[:n] + t
+            core = (at >= low[:n]) & (at < high[:n])
+            if not core.any():
+                continue
+            y = vf @ h
+            y += back[t, :, :n]
+            y += c
+            y -= y.max(axis=0)
+            y -= np.log(np.exp(y).sum(axis=0))
+            y *= core
+            total[:, :n] += y
+        out = np.empty((len(by), len(c)))
+        out[by] = total.T
+        return out
 
     def read(self, texts: list[str]) -> np.ndarray:
-        """Pooled log-probabilities of each text (zeros if it has no words)."""
-        split = [t.encode("utf-8").split() for t in texts]
-        new = {w for words in split for w in words if w not in self.code}
-        if len(self.code) + len(new) > self.most:
-            self.begin()
-            new = {w for words in split for w in words}
-        if new:
-            self.learn(list(new))
-        out = np.zeros((len(texts), len(self.languages)))
-        for k, words in enumerate(split):
-            if words:
-                total = self.sums[np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))].sum(axis=0)
-                y = total[:-1] / total[-1]
-                out[k] = y - np.log(np.exp(y - y.max()).sum()) - y.max()
+        """Pooled log-probabilities of each text (zeros if it is empty)."""
+        raw = [t.encode("utf-8") for t in texts]
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        stop = np.cumsum(size)
+        parts = -(-size // CORE)
+        doc = np.repeat(np.arange(len(raw)), parts)
+        k = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
+        first, past = (stop - size)[doc], stop[doc]
+        low = first + k * CORE
+        high = np.minimum(low + CORE, past)
+        out = np.zeros((len(raw), len(self.languages)))
+        for at in range(0, len(doc), 1024):
+            some = slice(at, at + 1024)
+            sums = self._windows(data, np.maximum(first[some], low[some] - HALO), np.minimum(past[some], high[some] + HALO), low[some], high[some])
+            np.add.at(out, doc[some], sums)
+        out /= np.maximum(size, 1)[:, None]
+        out -= np.log(np.exp(out - out.max(axis=1, keepdims=True)).sum(axis=1, keepdims=True)) + out.max(axis=1, keepdims=True)
+        out[size == 0] = 0
         return out
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 250, steps: int = 400) -> dict:
-    """Train on a bounded sample of labelled rows that are not held out."""
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 250, per_text: int = 2000, steps: int = 300) -> dict:
+    """Train on a bounded sample of labelled rows that are not held out: about per_lang rows a language, per_text characters of each."""
     able = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     counts = {r[0]: r[1] for r in able.groupBy(lang_col).count().collect()}
     if not counts:
@@ -202,7 +242,9 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(scale, int(scale * per_lang / n) + 1))])
     picked = able.where(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(scale)) < share[F.col(lang_col)])
     samples: dict[str, list[str]] = {k: [] for k in counts}
-    for r in picked.select(F.col(id_col).alias("i"), F.col(lang_col).alias("k"), F.col(text_col).cast("string").alias("t")).where("t is not null").orderBy("i", "t").collect():
+    text = F.col(text_col).cast("string")
+    begin = F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.lit(1)), F.greatest(F.lit(1), F.length(text) - per_text + 1)).cast("int") + 1
+    for r in picked.select(F.col(id_col).alias("i"), F.col(lang_col).alias("k"), F.substring(text, begin, F.lit(per_text)).alias("t")).where("t is not null").orderBy("i", "t").collect():
         samples[r.k].append(r.t)
     return train({k: v for k, v in samples.items() if any(t.split() for t in v)}, steps=steps)
 
@@ -211,9 +253,6 @@ def identify(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col:
     """Per row: id, held_out, lang_pred, score, from the text alone."""
 
     def run(batches):
-        import re
-
-        letter = re.compile(r"[^\W\d_]").search
         reader = Reader(model)
         for whole in batches:
             for x in pieces_of(whole, text_col, 1 << 20):
@@ -221,7 +260,7 @@ def identify(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col:
                 y = reader.read(texts) if model["languages"] else None
                 pred, score = [], []
                 for k, t in enumerate(texts):
-                    if y is None or not letter(t):
+                    if y is None or not any(map(str.isalpha, t)):  # isalpha: category L
                         pred.append("und")
                         score.append(0.0)
                     else:

@@ -386,6 +386,23 @@ def test_repeated_passages_go_once(spark, odd, none):
     by = {r.doc_id: r for r in got}
     assert len(got) == odd.count() and by[1].text is None and by[5].removed_bytes == 0 and by[6].text == "" and by[2].text == "" and by[None].text == "no id here"
     assert substring_dedup.dedup_substrings(none).count() == 0
+    # columns of the measures' names: they give way to the measures, or stay beside a struct of them
+    clash = spark.createDataFrame([(1, " ".join(words(1, 60)), 7)], "doc_id long, text string, n_bytes long")
+    assert substring_dedup.dedup_substrings(clash).columns == ["doc_id", "text", "n_chunks", "n_repeated_chunks", "n_bytes", "removed_bytes"]
+    (r,) = substring_dedup.dedup_substrings(clash, measures="m").collect()
+    assert r.n_bytes == 7 and r.m.removed_bytes == 0 and r.m.n_bytes == len(" ".join(words(1, 60)))
+
+
+def test_substrings_within_and_across(spark):
+    """Of a passage in three texts one copy stays; a repeat inside one text goes however far apart; a short phrase stays."""
+    text = lambda *a: " ".join(words(*a))
+    passage, phrase = text(50, 60), text(51, 12)
+    rows = [(k, f"{text(60 + k, 80)} {passage} {text(70 + k, 30)} {phrase} {text(80 + k, 20)}") for k in range(3)]
+    rows.append((9, f"{text(90, 60)} {text(91, 40000, 10**6)} {text(90, 60)}"))
+    out = {r.doc_id: r for r in substring_dedup.dedup_substrings(docs_of(spark, rows)).collect()}
+    cut = [k for k in range(3) if out[k].removed_bytes]
+    assert len(cut) == 2 and all(200 < out[k].removed_bytes <= len(passage) + 2 for k in cut)
+    assert out[9].removed_bytes > 200 and all(phrase in out[k].text for k in range(3))
 
 
 # 9 ---------------------------------------------------------------------------------------------------------------
@@ -407,6 +424,19 @@ def test_gradients():
         assert (losses[0] - losses[1]) / 2e-2 == pytest.approx(g[k][at], rel=0.02, abs=2e-5)
 
 
+def test_language_id_windows():
+    """Windows side by side label as one run over the whole sequence does; letters are those of category L."""
+    model = language_id.train({"a": ["one two three " * 40], "b": ["eins zwei drei " * 40]}, steps=30)
+    texts = ["ein Wort und " + " ".join(words(k, n)) for k, n in ((1, 900), (2, 3), (3, 260), (4, 1))] + ["", "a"]
+    got = language_id.Reader(model).read(texts)
+    for text, y in zip(texts, got, strict=True):
+        if text:
+            whole = language_id.log_probs(model["params"], np.frombuffer(text.encode(), np.uint8)[None])[0].mean(axis=0)
+            assert np.allclose(np.exp(y), np.exp(whole) / np.exp(whole).sum(), atol=0.02)
+        else:
+            assert not y.any()
+
+
 def test_language_id(spark, odd, none):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = language_id.fit(docs, steps=150)
@@ -418,3 +448,5 @@ def test_language_id(spark, odd, none):
     out = language_id.identify(odd.drop("lang"), model).collect()
     assert len(out) == odd.count() and {r.lang_pred for r in out if r.doc_id in (1, 2, 3)} == {"und"} and all(0 <= r.score <= 1 for r in out)
     assert language_id.identify(none, language_id.fit(none)).count() == 0
+    signs = spark.createDataFrame([(1, "½ ² ① 12 _"), (2, "ª")], "doc_id long, text string")
+    assert [r.lang_pred == "und" for r in language_id.identify(signs, model).orderBy("doc_id").collect()] == [True, False]
