@@ -28,8 +28,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts less the passages that another document has; a text of which nothing is left goes."""
     columns = docs.columns
-    done = substring_dedup.dedup_substrings(docs)
-    left = done.where("removed_bytes = 0 or length(trim(text)) > 0").select(columns)
+    own = "_".join(["measures", *columns])  # a name that no column has
+    done = substring_dedup.dedup_substrings(docs, measures=own)
+    left = done.where((F.col(f"`{own}`.removed_bytes") == 0) | (F.length(F.trim("text")) > 0)).select([f"`{c}`" for c in columns])
     return left.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in columns else left
 
 
