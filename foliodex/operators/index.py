@@ -11,16 +11,27 @@ from ..functions import text as tx
 K1, B, FLOOR = 1.5, 0.75, 0.25
 
 
+def tokenized(chunks: DataFrame, text_col: str = "text") -> DataFrame:
+    """doc_name, chunk_index, dl, terms (term, tf) of every chunk, counted inside its row: sorted tokens, cut where they change."""
+    tokens = chunks.select("doc_name", "chunk_index", F.array_sort(tx.tokenize(F.coalesce(text_col, F.lit("")))).alias("tokens"))
+    changes = "filter(transform(tokens, (x, i) -> if(i = 0 or x <> get(tokens, i - 1), i, null)), i -> i is not null)"
+    cut = tokens.select("doc_name", "chunk_index", "tokens", F.size("tokens").alias("dl"), F.expr(changes).alias("starts"))
+    terms = "transform(starts, (x, k) -> struct(get(tokens, x) as term, coalesce(get(starts, k + 1), dl) - x as tf))"
+    return cut.select("doc_name", "chunk_index", "dl", F.expr(terms).alias("terms"))
+
+
+def _terms(chunks: DataFrame, text_col: str) -> DataFrame:
+    return chunks if {"dl", "terms"} <= set(chunks.columns) else tokenized(chunks, text_col)
+
+
 def postings(chunks: DataFrame, text_col: str = "text") -> DataFrame:
-    """doc_name, chunk_index, term, tf, dl for every term of every chunk (dl: tokens of the chunk)."""
-    tokens = chunks.select("doc_name", "chunk_index", tx.tokenize(F.coalesce(text_col, F.lit(""))).alias("tokens"))
-    return tokens.select("doc_name", "chunk_index", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("doc_name", "chunk_index", "term").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"))
+    """doc_name, chunk_index, term, tf, dl for every term of every chunk (dl: tokens of the chunk); chunks or their tokenized form."""
+    return _terms(chunks, text_col).select("doc_name", "chunk_index", "dl", F.inline("terms")).select("doc_name", "chunk_index", "term", "tf", "dl")
 
 
 def corpus_stats(chunks: DataFrame, text_col: str = "text") -> DataFrame:
-    """doc_name, n_chunks, avgdl: chunks without a token count too."""
-    size = F.size(tx.tokenize(F.coalesce(text_col, F.lit(""))))
-    return chunks.groupBy("doc_name").agg(F.count("*").alias("n_chunks"), F.avg(size).alias("avgdl"))
+    """doc_name, n_chunks, avgdl: chunks without a token count too; chunks or their tokenized form."""
+    return _terms(chunks, text_col).groupBy("doc_name").agg(F.count("*").alias("n_chunks"), F.avg("dl").alias("avgdl"))
 
 
 def term_stats(posts: DataFrame, stats: DataFrame) -> DataFrame:

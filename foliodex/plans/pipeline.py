@@ -19,7 +19,8 @@ def evidence(questions: DataFrame, chunks: DataFrame, *, meta: DataFrame | None
     """
     asked = questions if "expanded_query" in questions.columns else staged(analyze.analyze(questions), "asked")
     scoped = chunks.join(asked.select("doc_name").distinct(), "doc_name", "left_semi")
-    posts, stats = index.postings(scoped), index.corpus_stats(scoped)
+    counted = staged(index.tokenized(scoped), "terms")
+    posts, stats = index.postings(counted), index.corpus_stats(counted)
     terms = index.query_terms(asked, F.col("expanded_query")).join(asked.select("qid", "doc_name"), "qid")
     lists = {
         "bm25": index.search_bm25(index.bm25(terms, posts, index.term_stats(posts, stats), stats, ["doc_name"])),

@@ -7,15 +7,21 @@ from pyspark.sql import functions as F
 
 from ..operators import index, parse
 from ..sources import files
+from ..sources.staging import staged
 
 
 def ingest(filings: DataFrame, root: str) -> DataFrame:
-    """Parse and index filings (doc_name, source_filename, html), replacing earlier versions; a status row per filing."""
+    """Parse and index filings (doc_name, source_filename, html), replacing earlier versions; a status row per filing.
+
+    Of files that give one doc_name the first by name counts. A filing that has no chunks any more loses those of its earlier version.
+    """
+    first = filings.groupBy("doc_name").agg(F.min("source_filename").alias("source_filename"))
+    filings = filings.join(first, ["doc_name", "source_filename"], "left_semi")
     chunks = parse.parse_filings(filings).persist()
     try:
         files.save(chunks, root, "chunks")
-        posts = index.postings(chunks)
-        stats = index.corpus_stats(chunks)
+        counted = staged(index.tokenized(chunks), "terms")
+        posts, stats = index.postings(counted), index.corpus_stats(counted)
         files.save(posts, root, "postings")
         files.save(stats, root, "corpus_stats")
         files.save(index.term_stats(posts, stats), root, "term_stats")
@@ -24,6 +30,9 @@ def ingest(filings: DataFrame, root: str) -> DataFrame:
         status = filings.select("doc_name").join(chunks.groupBy("doc_name").agg(F.count("*").alias("n_chunks"), F.max("page_num").alias("pages")), "doc_name", "left")
         rows = status.select("doc_name", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), "pages", F.when(F.col("n_chunks") > 0, "complete").otherwise("empty").alias("status"))
         files.save(rows, root, "ingest_status")
+        empty = files.load(filings.sparkSession, root, "ingest_status").where("n_chunks = 0").join(filings.select("doc_name"), "doc_name", "left_semi")
+        for name in ("chunks", "postings", "corpus_stats", "term_stats", "filing_meta", "vectors"):
+            files.remove(filings.sparkSession, root, name, empty)
     finally:
         chunks.unpersist()
     return files.load(filings.sparkSession, root, "ingest_status").join(filings.select("doc_name"), "doc_name", "left_semi")

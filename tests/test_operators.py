@@ -138,3 +138,34 @@ def test_dense_queries_in_several_passes(spark):
     few, lots = vectors.limit(2), spark.range(100_002).select(F.col("id").alias("qid"), F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.col("id").cast("double")).alias("vector"))
     got = index.dense_scores(lots, few)
     assert got.count() == 200_004 and got.select("qid").distinct().count() == 100_002
+
+
+PAGE = "<html><body><div>Page 1</div><p>The company sells {0} and reports net sales of $1,234 million for 2020 in this filing.</p></body></html>"
+
+
+def test_an_emptied_filing_loses_its_chunks(spark, tmp_path):
+    root, columns = str(tmp_path / "tables"), "doc_name string, source_filename string, html string"
+    a, b = ("A b=1", "A b=1.htm", PAGE.format("apples")), ("B", "B.htm", PAGE.format("pears"))
+    ingest.ingest(spark.createDataFrame([a, b, ("B", "B.html", PAGE.format("plums"))], columns), root)
+    texts = lambda: {r.doc_name: r.text for r in files.load(spark, root, "chunks").collect()}
+    assert set(texts()) == {"A b=1", "B"} and "pears" in texts()["B"] and not any("plums" in t for t in texts().values())
+    out = ingest.ingest(spark.createDataFrame([("A b=1", "A b=1.htm", "")], columns), root).collect()
+    assert [(r.doc_name, r.n_chunks, r.status) for r in out] == [("A b=1", 0, "empty")]
+    for name in ("chunks", "postings", "corpus_stats", "term_stats"):
+        assert {r.doc_name for r in files.load(spark, root, name).collect()} == {"B"}
+
+
+def test_filings_are_decoded_without_bad_bytes(spark, tmp_path):
+    (tmp_path / "x.htm").write_bytes(b"a\xffb \xef\xbf\xbd c")
+    (tmp_path / "y.HTML").write_bytes("é".encode())
+    (tmp_path / "z.htm.bak").write_bytes(b"no")
+    assert {r.doc_name: r.html for r in files.read_filings(spark, str(tmp_path)).collect()} == {"x": "ab � c", "y": "é"}
+
+
+def test_upsert_replaces_filings_only(spark, tmp_path):
+    url, made = f"jdbc:derby:{tmp_path}/db;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = lambda x: spark.createDataFrame([(d, k, 1, "s", "OTHER", "text", t) for d, k, t in x], "doc_name string, chunk_index int, page_num int, section string, statement_type string, chunk_type string, text string")
+    files.upsert_jdbc(rows([("A", 0, "old"), ("A", 1, "old"), ("B", 0, "stays")]), url, "chunks", made)
+    files.upsert_jdbc(rows([("A", 0, "new"), ("C", 0, "one")]), url, "chunks", made, vectors=rows([("A", 0, "")]).select("doc_name", "chunk_index"))
+    got = {(r.doc_name, r.chunk_index, r.text) for r in spark.read.jdbc(url, "chunks", properties=made).collect()}
+    assert got == {("A", 0, "new"), ("B", 0, "stays")}
