@@ -71,7 +71,7 @@ def years(text: Column) -> Column:
 def company_name(text: Column) -> Column:
     """A company's name without the header text that may follow it."""
     plain = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
-    ends = "|".join(x.replace("/", r"\/") for x in lx.parts(lx.COMPANY_ENDS))
+    ends = "|".join(x.replace("/", r"\/") for x in lx.COMPANY_ENDS)
     return F.trim(F.regexp_replace(plain, f"(?i)(?<=.) (?:{ends}).*$", ""))
 
 

@@ -7,9 +7,9 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import lexicon as lx
 from ..functions import text as tx
 
-QUOTES = "\"“”'’"
 SOURCE = "array<struct<doc_name: string, page_num: int, evidence_text: string>>"
 
 
@@ -47,7 +47,7 @@ def prompts(contexts: DataFrame, notes: DataFrame | None = None) -> DataFrame:
 
 def metrics(reply: Column) -> Column:
     """The rows of a reply's METRICS block: label and value, perhaps period and note; at most six."""
-    block = F.regexp_extract(reply, r"(?is)METRICS:\s*(.*?)(?:\n\s*(?:SOURCE:|ANSWER:|CALCULATION:|ANALYSIS:)|\z)", 1)
+    block = F.regexp_extract(reply, lx.REPLY_METRICS, 1)
     rows = F.transform(F.split(block, "\r\n|\n|\r"), lambda x: F.trim(F.regexp_replace(F.trim(x), r"^[-•*]+", "")))
 
     def fields(line: Column) -> Column:
@@ -65,14 +65,12 @@ def parse_answers(replies: DataFrame, passages: DataFrame) -> DataFrame:
     top = passages.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("final_rank", "doc_name", "page_num", "text"))).alias("top"))
     df = replies.join(top, "qid", "left").withColumn("_r", F.trim(F.coalesce("reply", F.lit(""))))
     r = F.col("_r")
-    answer = F.trim(F.regexp_extract(r, r"(?is)ANSWER:\s*(.+?)(?:\n(?:SOURCE|METRICS):|\z)", 1))
+    answer = F.trim(F.regexp_extract(r, lx.REPLY_ANSWER, 1))
     head = F.upper(F.rtrim(F.trim(F.substring_index(answer, "\n", 1)), F.lit(".:")))
-    paged = r"(?i)SOURCE:\s*(?:([^\n]*?)\s+)?Page\s*(\d+)\s*[-–—:]\s*[\"“”'’]?(.+?)[\"“”'’]?(?:\n|$)"
-    listed = r"(?i)SOURCE:\s*Passage\s*(\d+)\s*[-–—:]\s*[\"“”'’]?(.+?)[\"“”'’]?(?:\n|$)"
     group = lambda pattern, n: F.regexp_extract_all(r, F.lit(pattern), F.lit(n))
-    trio = F.arrays_zip(group(paged, 1).alias("doc"), group(paged, 2).alias("page"), group(paged, 3).alias("quote"))
+    trio = F.arrays_zip(group(lx.REPLY_PAGE_SOURCE, 1).alias("doc"), group(lx.REPLY_PAGE_SOURCE, 2).alias("page"), group(lx.REPLY_PAGE_SOURCE, 3).alias("quote"))
     by_page = F.transform(trio, lambda x: F.struct(F.when(F.trim(x["doc"]) != "", F.trim(x["doc"])).alias("doc_name"), x["page"].cast("int").alias("page_num"), F.trim(x["quote"]).alias("evidence_text")))
-    pairs = F.filter(F.arrays_zip(group(listed, 1).alias("n"), group(listed, 2).alias("quote")), lambda x: x["n"].cast("int").between(1, F.size("top")))
+    pairs = F.filter(F.arrays_zip(group(lx.REPLY_PASSAGE_SOURCE, 1).alias("n"), group(lx.REPLY_PASSAGE_SOURCE, 2).alias("quote")), lambda x: x["n"].cast("int").between(1, F.size("top")))
     by_place = F.transform(pairs, lambda x: F.struct(F.get("top", x["n"].cast("int") - 1)["doc_name"].alias("doc_name"), F.get("top", x["n"].cast("int") - 1)["page_num"].cast("int").alias("page_num"), F.trim(x["quote"]).alias("evidence_text")))
     best = F.get("top", F.lit(0))
     from_top = F.array(F.struct(best["doc_name"].alias("doc_name"), best["page_num"].cast("int").alias("page_num"), F.substring(F.coalesce(best["text"], F.lit("")), 1, 150).alias("evidence_text")))
@@ -117,14 +115,11 @@ def score_breakdown(best: DataFrame) -> DataFrame:
     return df.withColumn("overall", F.round(0.5 * F.col("answer_support") + 0.3 * F.col("location_accuracy") + 0.2 * F.col("source_reliability"), 2))
 
 
-GENERIC = ("", "general", "unknown", "n/a", "none")
-
-
 def location() -> Column:
     """Where in its filing a chunk stands, from section, subsection and title, without generic labels."""
     section, sub = F.trim(F.coalesce("section", F.lit(""))), F.trim(F.coalesce("subsection", F.lit("")))
     title = F.trim(F.coalesce(F.when(F.col("statement_title") != "", F.col("statement_title")), F.when(F.col("table_title") != "", F.col("table_title"))))
-    keep = lambda x: F.when(~F.lower(x).isin(*GENERIC), x)
+    keep = lambda x: F.when(~F.lower(x).isin(*lx.GENERIC_LABELS), x)
     parts = F.array_distinct(F.filter(F.array(keep(section), keep(sub), title), lambda x: x.isNotNull()))
     joined = F.array_join(parts, " — ")
     return F.when(F.size(parts) > 0, F.when(F.length(joined) > 110, F.concat(F.substring(joined, 1, 110), F.lit("…"))).otherwise(joined))

@@ -75,7 +75,7 @@ def structure_features(df: DataFrame) -> DataFrame:
             "_matched": matched,
             "query_term_boost": F.least(F.lit(20.0), F.size("_in_meta") * 6.0 + F.size("_in_body") * 2.0),
             "_header": table & (F.size(F.array_union("_in_meta", "metric_matches")) > 0),
-            "filing_purpose_matches": F.when(F.col("query_type") == "DOCUMENT_PURPOSE", F.filter(lx.strings(lx.parts(lx.PURPOSE_EVIDENCE)), lambda m: F.concat_ws(" ", "_meta", "_text").contains(m))).otherwise(F.array().cast("array<string>")),
+            "filing_purpose_matches": F.when(F.col("query_type") == "DOCUMENT_PURPOSE", F.filter(lx.strings(lx.PURPOSE_EVIDENCE), lambda m: F.concat_ws(" ", "_meta", "_text").contains(m))).otherwise(F.array().cast("array<string>")),
         }
     )
     compare = F.col("comparison_intent")
@@ -120,10 +120,10 @@ def rerank(candidates: DataFrame) -> DataFrame:
     asked_for = (statement == explicit) | F.upper(F.coalesce("section", F.lit(""))).contains(explicit)
     by_statement = F.when(explicit != "ANY", _if(asked_for, 25.0) + _if(primary, 60.0)).otherwise(_if((F.col("inferred_statement") != "ANY") & (statement == F.col("inferred_statement")), 15.0))
     by_target = F.when(F.size("target_statements") == 0, 0.0).when(F.array_contains("target_statements", statement), 35.0).when(statement.isin("EQUITY_STATEMENT", "RISK_FACTORS", "BUSINESS"), -45.0).when((statement == "FOOTNOTES") & F.col("requires_calculation"), -20.0).otherwise(0.0)
-    which = tx.any_in(F.lower("question"), lx.parts(lx.WHICH_GROUP))
+    which = tx.any_in(F.lower("question"), lx.WHICH_GROUP)
     by_group = F.when(which, _if(_lower("subsection").rlike(r"^\s*note\s+\d+\b"), -30.0) + _if(has("segment result"), 30.0)).otherwise(0.0)
     boosts = sum((F.col(c) for c in ("table_header_boost", "comparison_dimension_boost", "filing_purpose_boost")), F.col("query_term_boost"))
-    meta = by_statement + by_target + _if(F.col("requires_calculation") & tx.any_in(b, lx.parts(lx.UNRELATED)), -25.0) + _if(F.col("query_type").isin("NUMERIC_LOOKUP", "CALCULATION") & table, 15.0) + by_group + boosts
+    meta = by_statement + by_target + _if(F.col("requires_calculation") & tx.any_in(b, lx.UNRELATED), -25.0) + _if(F.col("query_type").isin("NUMERIC_LOOKUP", "CALCULATION") & table, 15.0) + by_group + boosts
     return df.withColumns(
         {
             "agreement_boost": agreement,

@@ -23,7 +23,7 @@ def gate(questions: DataFrame, passages: DataFrame) -> DataFrame:
     first = first.withColumn("_search", tx.search_text())
     statement = F.coalesce("statement_type", F.lit("OTHER"))
     wanted = F.filter(lx.concept_literal(), lambda c: F.array_contains("concepts", c["id"]))
-    clean = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?i)\b(?:note|item|page|part|section)\s+\d+\b", "")
+    clean = F.regexp_replace(F.coalesce("text", F.lit("")), lx.PLACE_NUMBER, "")
     figures = F.regexp_extract_all(clean, F.lit(f"({lx.NUMBER_IN_TEXT})"), 1)
     flags = first.groupBy("qid").agg(
         F.count("*").alias("n"),
@@ -32,7 +32,7 @@ def gate(questions: DataFrame, passages: DataFrame) -> DataFrame:
         F.bool_or((statement == F.col("explicit_statement")) | F.upper(F.coalesce("section", F.lit(""))).contains(F.col("explicit_statement")) | F.coalesce("concept_matched", F.lit(False))).alias("statement"),
         F.collect_set("statement_type").alias("statements"),
         F.array_distinct(F.flatten(F.collect_list(F.filter("_groups", lambda t: search.contains(t))))).alias("groups"),
-        F.bool_or(tx.any_in(search, lx.parts(lx.PURPOSE_EVIDENCE))).alias("purpose"),
+        F.bool_or(tx.any_in(search, lx.PURPOSE_EVIDENCE)).alias("purpose"),
         F.bool_or(F.exists("target_years", lambda y: search.contains(y))).alias("period"),
         F.bool_or(F.exists(figures, lambda n: ~F.array_contains("target_years", n)) | clean.contains("$") | clean.contains("(")).alias("value"),
     )
@@ -41,24 +41,29 @@ def gate(questions: DataFrame, passages: DataFrame) -> DataFrame:
     missing_inputs = F.filter("concepts", lambda c: ~F.array_contains("inputs", c))
     missing_statements = F.array_except("target_statements", "statements")
     need = F.when(F.size("_groups") <= 2, 1).otherwise(2)
-    failed = lambda rule, rest: F.concat(F.lit(f"Rule Failed [{rule}]: "), *rest)
     concepts = F.when(F.size("concepts") > 0, F.array_join("concepts", ", ")).otherwise("requested concept")
     reason = (
-        F.when(F.col("n").isNull(), F.lit("No candidate chunks were retrieved."))
-        .when(named & ~F.col("concept"), failed("Concept Rule", [F.lit("Top passages do not contain requested concept ("), concepts, F.lit(") or accounting aliases.")]))
-        .when(named & F.col("requires_calculation") & (F.size("concepts") > 1) & (F.size(missing_inputs) > 0), failed("Calculation Inputs", [F.lit("Missing required formula input evidence for "), F.array_join(missing_inputs, ", "), F.lit(".")]))
-        .when((F.col("explicit_statement") != "ANY") & ~F.col("statement"), failed("Statement Rule", [F.lit("Top passages do not match explicitly requested statement type ("), F.col("explicit_statement"), F.lit(").")]))
-        .when(F.col("requires_calculation") & (F.size(missing_statements) > 0), failed("Calculation Statements", [F.lit("Missing required statement evidence for "), F.array_join(missing_statements, ", "), F.lit(".")]))
-        .when(F.col("_compares") & (F.size("_groups") > 0) & (F.size("groups") < need), failed("Comparison Rule", [F.lit("Top passages do not contain the requested comparison/grouping dimension.")]))
-        .when((F.col("query_type") == "DOCUMENT_PURPOSE") & ~F.col("purpose"), failed("Document Purpose Rule", [F.lit("Top passages do not contain filing metadata or event/section evidence.")]))
-        .when((F.size("target_years") > 0) & ~F.col("period"), failed("Period Rule", [F.lit("Top passages do not contain requested fiscal year ("), F.array_join("target_years", ", "), F.lit(").")]))
-        .when(F.col("query_type").isin("NUMERIC_LOOKUP", "CALCULATION") & ~F.col("value"), failed("Value Rule", [F.lit("Top passages do not contain numerical values/digits required to answer the query.")]))
+        F.when(F.col("n").isNull(), F.lit(lx.NO_CANDIDATES))
+        .when(named & ~F.col("concept"), _failed("Concept Rule", concepts))
+        .when(named & F.col("requires_calculation") & (F.size("concepts") > 1) & (F.size(missing_inputs) > 0), _failed("Calculation Inputs", F.array_join(missing_inputs, ", ")))
+        .when((F.col("explicit_statement") != "ANY") & ~F.col("statement"), _failed("Statement Rule", F.col("explicit_statement")))
+        .when(F.col("requires_calculation") & (F.size(missing_statements) > 0), _failed("Calculation Statements", F.array_join(missing_statements, ", ")))
+        .when(F.col("_compares") & (F.size("_groups") > 0) & (F.size("groups") < need), _failed("Comparison Rule"))
+        .when((F.col("query_type") == "DOCUMENT_PURPOSE") & ~F.col("purpose"), _failed("Document Purpose Rule"))
+        .when((F.size("target_years") > 0) & ~F.col("period"), _failed("Period Rule", F.array_join("target_years", ", ")))
+        .when(F.col("query_type").isin("NUMERIC_LOOKUP", "CALCULATION") & ~F.col("value"), _failed("Value Rule"))
     )
-    passed = F.when(F.col("query_type") == "DOCUMENT_PURPOSE", "Document-purpose evidence requirements passed.").when(F.col("_compares"), "Comparison evidence requirements passed.").otherwise("All applicable rule-based evidence requirements passed.")
+    passed = F.when(F.col("query_type") == "DOCUMENT_PURPOSE", lx.PURPOSE_PASSED).when(F.col("_compares"), lx.COMPARISON_PASSED).otherwise(lx.ALL_PASSED)
     status = F.when(F.col("n").isNull(), "NO_EVIDENCE").when(reason.isNotNull(), "WEAK_EVIDENCE").otherwise("SUFFICIENT_EVIDENCE")
     return df.select("qid", status.alias("gate_status"), F.coalesce(reason, passed).alias("gate_reason"))
 
 
+def _failed(rule: str, missing: Column | None = None) -> Column:
+    """The reason that a rule failed, with what is missing in its place."""
+    before, _, after = f"Rule Failed [{rule}]: {lx.GATE_REASONS[rule]}".partition("{}")
+    return F.lit(before) if missing is None else F.concat(F.lit(before), missing, F.lit(after))
+
+
 def _metric_tokens() -> Column:
     """Gate terms of the accounting wordings that stand in the question."""
     return F.flatten(F.transform(F.filter("terms", lambda t: F.lower("question").contains(t)), lambda t: tx.gate_terms(t)))
@@ -71,7 +76,7 @@ def line_score(line: Column) -> Column:
         + 5 * F.exists("terms", lambda t: low.contains(t)).cast("int")
         + 3 * ((F.size("concepts") > 0) & low.contains(F.lower("metric"))).cast("int")
         + 2 * line.rlike(lx.NOTE_NUMBER).cast("int")
-        + tx.any_in(low, lx.parts(lx.EVIDENCE_WORDS)).cast("int")
+        + tx.any_in(low, lx.EVIDENCE_WORDS).cast("int")
     )
 
 

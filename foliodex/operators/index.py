@@ -71,7 +71,7 @@ def search_bm25(scores: DataFrame, k: int = 50, by: list[str] | None = None) ->
 def marker_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """Purpose-marker scores; only DOCUMENT_PURPOSE questions take part, and are filtered before chunks are met."""
     asked = questions.where("query_type = 'DOCUMENT_PURPOSE'").select("qid", "doc_name", "target_years")
-    marks = lx.parts(lx.PURPOSE_EVIDENCE)
+    marks = lx.PURPOSE_EVIDENCE
     text = tx.search_text()
     hits = sum((text.contains(m).cast("int") for m in marks[1:]), text.contains(marks[0]).cast("int"))
     fixed = 10 * hits + 15 * text.contains("item information").cast("int") + 8 * (text.contains("submission type") | text.contains("form type")).cast("int") + 8 * text.contains("filed as of date").cast("int")

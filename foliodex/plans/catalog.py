@@ -62,8 +62,8 @@ def sql_any(x: str, words) -> str:
     return "(" + " OR ".join(f"contains({x}, {quoted(w)})" for w in words) + ")"
 
 
-def sql_first(x: str, lines: str, default: str) -> str:
-    return "CASE " + " ".join(f"WHEN {sql_any(x, lx.parts(w))} THEN {quoted(n)}" for n, w in lx.table(lines)) + f" ELSE {quoted(default)} END"
+def sql_first(x: str, lines, default: str) -> str:
+    return "CASE " + " ".join(f"WHEN {sql_any(x, w)} THEN {quoted(n)}" for n, w in lines) + f" ELSE {quoted(default)} END"
 
 
 CTE_DOCS = f"docs AS ({fx.DOCS})"
@@ -146,7 +146,7 @@ def term_stats(spark, sf_dir):
 
 
 def _purpose_sql() -> str:
-    marks = lx.parts(lx.PURPOSE_EVIDENCE)
+    marks = lx.PURPOSE_EVIDENCE
     search = "lower(concat_ws(' ', section, subsection, statement_title, table_title, table_context, '', chunk_type, '', text))"
     hits = " + ".join(f"CAST(contains(x, {quoted(m)}) AS INT)" for m in marks)
     return f"""
@@ -266,10 +266,10 @@ def _scores_sql() -> str:
             "EQUITY_STATEMENT": "CASE WHEN (contains(b, 'retained earnings') OR contains(b, 'treasury stock')) AND (contains(b, 'common stock') OR contains(b, 'additional paid-in capital')) THEN 6 ELSE 0 END",
         }[name]
         parts.append(f"CASE WHEN note THEN greatest(0, x) ELSE x + 4 END AS {name}".replace("x + 4", f"(CASE WHEN {sql_any('h', heads)} THEN 8 ELSE 0 END + {body} + {bonus})").replace("greatest(0, x)", f"greatest(0, CASE WHEN {sql_any('h', heads)} THEN 8 ELSE 0 END + {body} + {bonus} - 4)"))
-    units = "CASE " + " ".join(f"WHEN {sql_any('u', lx.parts(w))} THEN {quoted(n)}" for n, w in lx.table(lx.TABLE_UNIT_LINES)) + " END"
+    units = "CASE " + " ".join(f"WHEN {sql_any('u', w)} THEN {quoted(n)}" for n, w in lx.TABLE_UNITS) + " END"
     best = "greatest(BALANCE_SHEET, INCOME_STATEMENT, CASH_FLOW_STATEMENT, EQUITY_STATEMENT)"
     strong = " ".join(f"WHEN strong AND {best} >= 8 AND {n} = {best} THEN '{n}'" for n in ("BALANCE_SHEET", "INCOME_STATEMENT", "CASH_FLOW_STATEMENT", "EQUITY_STATEMENT"))
-    cascade = " ".join(f"WHEN {sql_any('w', lx.parts(x))} THEN '{n}'" for n, x in lx.table(lx.CASCADE_LINES))
+    cascade = " ".join(f"WHEN {sql_any('w', x)} THEN '{n}'" for n, x in lx.CASCADE)
     return f"""
 WITH {CTE_CHUNKS}, c AS (SELECT doc_name, chunk_index, {head} AS h, lower(text) AS b, concat_ws(' ', {head}, lower(CASE WHEN chunk_type = 'table' THEN text[1:1200] ELSE text[1:250] END)) AS w, lower(concat(table_title, chr(10), text)) AS u,
   chunk_type = 'table' OR statement_title <> '' AS strong,
@@ -362,11 +362,11 @@ def _type_sql() -> str:
     ratio = sql_any("q", [a for _, aliases, _, _ in lx.RATIOS for a in aliases])
     return f"""
 WITH {CTE_QUESTIONS}, l AS (SELECT qid, question, lower(question) AS q FROM questions), h AS (SELECT *, {hits} FROM l),
-t AS (SELECT *, CASE WHEN {sql_any('q', lx.parts(lx.PURPOSE_QUESTION))} AND {sql_any('q', lx.parts(lx.PURPOSE_FILING))} THEN 'DOCUMENT_PURPOSE' {strong} {weak} ELSE 'GENERAL' END AS kind FROM h)
+t AS (SELECT *, CASE WHEN {sql_any('q', lx.PURPOSE_QUESTION)} AND {sql_any('q', lx.PURPOSE_FILING)} THEN 'DOCUMENT_PURPOSE' {strong} {weak} ELSE 'GENERAL' END AS kind FROM h)
 SELECT qid, CASE WHEN {ratio} AND kind NOT IN ('CALCULATION', 'COMPARISON', 'TREND') THEN 'CALCULATION' ELSE kind END AS query_type, kind = 'CALCULATION' OR {ratio} AS requires_calculation,
-  CASE WHEN kind = 'CALCULATION' THEN {sql_any('q', lx.parts(lx.CALCULATION_COMPARES))} ELSE kind IN ('COMPARISON', 'TREND') END OR {sql_any('q', lx.parts(lx.PRIOR_YEAR))} AS is_comparison,
-  {sql_first('q', lx.EXPLICIT_LINES, 'ANY')} AS explicit_statement, {sql_first('q', lx.UNIT_LINES, '')} AS requested_unit,
-  CASE WHEN {sql_any('q', lx.parts(lx.UP_WORDS))} THEN 'increase' WHEN {sql_any('q', lx.parts(lx.DOWN_WORDS))} THEN 'decrease' ELSE '' END AS comparison_direction,
+  CASE WHEN kind = 'CALCULATION' THEN {sql_any('q', lx.CALCULATION_COMPARES)} ELSE kind IN ('COMPARISON', 'TREND') END OR {sql_any('q', lx.PRIOR_YEAR)} AS is_comparison,
+  {sql_first('q', lx.EXPLICIT_STATEMENTS, 'ANY')} AS explicit_statement, {sql_first('q', lx.UNITS, '')} AS requested_unit,
+  CASE WHEN {sql_any('q', lx.UP_WORDS)} THEN 'increase' WHEN {sql_any('q', lx.DOWN_WORDS)} THEN 'decrease' ELSE '' END AS comparison_direction,
   CASE WHEN regexp_matches(q, '\\b10\\s*-\\s*k\\b|\\b10k\\b') THEN '10-K' WHEN regexp_matches(q, '\\b10\\s*-\\s*q\\b|\\b10q\\b') THEN '10-Q' WHEN regexp_matches(q, '\\b8\\s*-\\s*k\\b|\\b8k\\b') THEN '8-K' ELSE '' END AS filing_type,
   CASE regexp_extract(q, '\\b(q[1-4]|first quarter|second quarter|third quarter|fourth quarter)\\b', 1) WHEN '' THEN '' WHEN 'first quarter' THEN 'Q1' WHEN 'second quarter' THEN 'Q2' WHEN 'third quarter' THEN 'Q3' WHEN 'fourth quarter' THEN 'Q4'
     ELSE upper(regexp_extract(q, '\\b(q[1-4])\\b', 1)) END AS quarter FROM t
@@ -399,9 +399,9 @@ def concept_match(spark, sf_dir):
 @query(f"""
 WITH {CTE_QUESTIONS}, l AS (SELECT qid, question, lower(question) AS q FROM questions),
 y AS (SELECT qid, question, q, list_distinct(regexp_extract_all(q, '\\b(?:fy)?(20[0-9]{{2}})\\b', 1)) AS ys FROM l)
-SELECT qid, array_to_string(list_sort(CASE WHEN {sql_any('q', lx.parts(lx.PRIOR_YEAR))} THEN list_distinct(ys || list_transform(ys, lambda x: CAST(CAST(x AS INT) - 1 AS VARCHAR))) ELSE ys END), ',') AS years,
+SELECT qid, array_to_string(list_sort(CASE WHEN {sql_any('q', lx.PRIOR_YEAR)} THEN list_distinct(ys || list_transform(ys, lambda x: CAST(CAST(x AS INT) - 1 AS VARCHAR))) ELSE ys END), ',') AS years,
   CASE WHEN regexp_extract(question, '\\b([A-Z][A-Za-z0-9&.\\-]{{1,30}})''s\\b', 1) <> '' THEN regexp_extract(question, '\\b([A-Z][A-Za-z0-9&.\\-]{{1,30}})''s\\b', 1)
-    ELSE coalesce(list_filter(regexp_extract_all(question, '\\b[A-Z][A-Z0-9&.-]{{1,12}}\\b'), lambda t: NOT list_contains({sql_list(lx.parts(lx.NOT_COMPANIES))}, t) AND NOT regexp_matches(t, '^20[0-9]{{2}}$'))[1], '') END AS company FROM y
+    ELSE coalesce(list_filter(regexp_extract_all(question, '\\b[A-Z][A-Z0-9&.-]{{1,12}}\\b'), lambda t: NOT list_contains({sql_list(lx.NOT_COMPANIES)}, t) AND NOT regexp_matches(t, '^20[0-9]{{2}}$'))[1], '') END AS company FROM y
 """)
 def query_years_company(spark, sf_dir):
     """E8-E9."""
