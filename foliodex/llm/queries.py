@@ -19,7 +19,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
+    return warc.round_trip(table(spark, sf_dir, "pages"), scratch(spark, "warc"), chunk_bytes=16 << 10)
 
 
 def op3_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """The training-data operators against brute force, with nulls, empty and long texts, repeated rows and clashing columns."""
 
 import collections
+import gzip
 import hashlib
 import itertools
+import pathlib
 import random
 import re
 import zlib
@@ -10,6 +12,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from foliodex.llm import bpe, components, decontamination, html_wrappers, language_id, near_dedup, queries, repetition, sharding, substring_dedup, token_files, warc
 from foliodex.llm.common import scratch
@@ -109,6 +112,46 @@ def test_archives(spark, chunk):
     assert warc.round_trip(pages.limit(0), scratch(spark, "w")).count() == 0
 
 
+def test_long_payloads_in_many_archives(spark):
+    long = [" ".join(words(k, 40_000)) for k in range(3)]
+    rows = [(1, None, long[0], 9, "m"), (2, "u", long[1], 9, "m"), (3, "u", long[0], 9, "m"), (4, "u", long[2], 9, "m"), (4, "u", long[2], 9, "m")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, chunk int, digest string")
+    path = scratch(spark, "w")
+    records = warc.record_rows(pages, chunk_bytes=1000)
+    for r in records.where("record_id LIKE '2:%'").collect():
+        assert r.running == hashlib.sha256(long[1].encode()[: 1000 * r.chunk]).hexdigest() and len(r.body) <= 1000
+    got = {r.page_id: r for r in warc.round_trip(pages, path, chunk_bytes=1000, file_bytes=20_000).collect()}
+    assert len(list(pathlib.Path(path.removeprefix("file://")).glob("*.gz"))) > 20
+    assert all(got[i].digest_ok and got[i].payload_digest == hashlib.sha256(t.encode()).hexdigest() and got[i].payload_bytes == len(t) for i, t in ((1, long[0]), (2, long[1]), (3, long[0]), (4, long[2])))
+    assert (got[3].record_type, got[3].refers_to, got[1].record_type) == ("revisit", 1, "response")
+
+
+def test_damaged_archives(spark):
+    text = "0123456789" * 40
+    pages = spark.createDataFrame([(1, "u", text), (2, "u", text), (3, "u", "other " * 30)], "page_id long, url string, html string").coalesce(1)
+    path = scratch(spark, "w")
+    records = warc.record_rows(pages, chunk_bytes=100)
+    changed = F.when((F.col("chunk") == 2) & F.col("record_id").startswith("1:"), F.lit("x" * 100).cast("binary")).otherwise(F.col("body"))
+    warc.write_archives(records.withColumn("body", changed), path, records_per_file=100)
+    read = {r.record_id[0]: r for r in warc.resolve_revisits(warc.read_records(warc.read_segments(spark, path))).collect()}
+    assert not read["1"].running_ok and not read["2"].running_ok and read["2"].payload_digest == read["1"].payload_digest != read["1"].declared_digest
+    assert read["3"].running_ok and read["3"].payload_digest == read["3"].declared_digest
+    raw = next(pathlib.Path(path.removeprefix("file://")).glob("*.gz")).read_bytes()
+    plain = gzip.decompress(raw)
+    for cut in (raw[: len(raw) // 2], gzip.compress(plain[:-50]), gzip.compress(plain[:30])):
+        feed = warc._Feed(cut)
+        with pytest.raises(ValueError, match="ends inside"):
+            while (line := feed.line()) is not None:
+                if line:
+                    feed.take(int(feed.header()["Content-Length"]))
+    members = warc._Feed(gzip.compress(plain[:500]) + gzip.compress(plain[500:]), 64)
+    assert members.take(len(plain)) == plain and members.line() is None
+    dense = warc._Feed(gzip.compress(b"a" * 10**6), 512)
+    while dense._more():
+        assert len(dense.have) <= 512
+        dense.pos = len(dense.have)
+
+
 # 3 ---------------------------------------------------------------------------------------------------------------
 
 
