@@ -106,11 +106,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, sh
     """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     items = item_terms(benchmark)
     postings = build_index(docs, items.select(F.explode("item_words").alias("term")))
-    hits = phrase_matches(docs, postings, items, window=window)
-    per_doc = hits.groupBy("doc_id").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("long").alias("n_hit"),
-        F.collect_set(F.col("item_id").cast("string")).alias("items"),
-    )
+    hits = stored(phrase_matches(docs, postings, items, window=window), "hits")
+    # places and items are each made distinct as rows, so that no document's hits are held as a list
+    n_hits = hits.select("doc_id", F.explode("hits").alias("at")).distinct().groupBy("doc_id").agg(F.count("*").alias("n_hit"))
+    hit_by = hits.groupBy("doc_id").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
+    per_doc = n_hits.join(hit_by, "doc_id")
     lengths = postings.where(F.col("term") == END).select("doc_id", F.col("pos").cast("long").alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return lengths.join(per_doc, "doc_id", "left").select(
