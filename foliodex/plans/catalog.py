@@ -488,6 +488,102 @@ def analysed(spark, sf_dir) -> DataFrame:
     return staged(analyze.analyze(questions(spark, sf_dir)), "asked")
 
 
+BLOCK = 10
+CTE_CASES = "CAST(qid * 1000000 + chunk_index // 10 AS BIGINT)"
+
+
+def gate_cases(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Every question against every ten chunks in a row of its filing: analysed questions and their passages."""
+    chunk = typed(chunks(spark, sf_dir)).drop("_s").withColumns({"block": F.expr(f"chunk_index div {BLOCK}"), "final_rank": F.col("chunk_index") % BLOCK + 1, "concept_matched": F.lit(False)})
+    asked = analyze.analyze(questions(spark, sf_dir))
+    case = (F.col("qid") * 1_000_000 + F.col("block")).alias("qid")
+    blocks = asked.join(chunk.select("doc_name", "block").distinct(), "doc_name")
+    passages = chunk.join(asked.select("qid", "doc_name"), "doc_name").select(case, *[c for c in chunk.columns if c != "block"])
+    return blocks.select(case, *[c for c in asked.columns if c != "qid"]), passages
+
+
+def _cases_sql() -> str:
+    """CTEs of gate_cases: asked (one row a question), passages."""
+    known = {name: words for name, _, words in lx.CONCEPTS}
+    terms = " || ".join(f"CASE WHEN {sql_any('q', k)} THEN {sql_list(k)} ELSE [] END" for k in known.values())
+    needs = "CASE " + " ".join(f"WHEN {sql_any('q', aliases)} THEN {sql_list([w for n in ids for w in known[n]])}" for _, aliases, ids, _ in lx.RATIOS) + " ELSE [] END"
+    found = lambda x: f"list_filter(list_transform(regexp_extract_all(lower({x}), '{lx.TOKEN}'), lambda u: trim(u, '$.,%')), lambda u: length(u) >= 3 AND NOT list_contains({sql_list(lx.GATE_STOP)}, u) AND NOT regexp_matches(u, '^[0-9]+$'))"
+    split = lambda x: f"list_filter(string_split({x}, ','), lambda e: e <> '')"
+    once = lambda x: f"list_filter({x}, lambda e, i: list_position({x}, e) = i)"
+    columns = "section, subsection, statement_title, table_title, table_context, statement_type, chunk_type, units, text"
+    return f"""
+ty AS ({_type_sql()}), ex AS ({ORACLE_SQL['query_expand']}), cm AS ({ORACLE_SQL['concept_match']}), ci AS ({ORACLE_SQL['comparison_intent']}), qs AS ({fx.QUESTIONS}),
+l AS (SELECT qid, doc_name, lower(question) AS q FROM qs), y AS (SELECT *, {once("regexp_extract_all(q, '\\b(?:fy)?(20[0-9]{2})\\b', 1)")} AS stated FROM l),
+w AS (SELECT y.* EXCLUDE (stated), list_distinct({terms} || {needs}) AS terms,
+  stated || CASE WHEN {sql_any('q', lx.PRIOR_YEAR)} THEN list_filter(list_transform(stated, lambda x: CAST(CAST(x AS INT) - 1 AS VARCHAR)), lambda x: NOT list_contains(stated, x)) ELSE [] END AS ys FROM y),
+asked AS (SELECT w.*, ty.* EXCLUDE (qid, is_comparison), {split('ex.target_statements')} AS targets, ex.context_limit, {split('cm.concepts')} AS ids, cm.metric, ci.gate AS compares,
+  list_filter(list_distinct({found('q')}), lambda g: NOT list_contains(flatten(list_transform(list_filter(terms, lambda t: contains(q, t)), lambda t: {found('t')})), g)) AS wanted
+  FROM w JOIN ty USING (qid) JOIN ex USING (qid) JOIN cm USING (qid) JOIN ci USING (qid)),
+ch AS ({fx.CHUNKS}), st AS ({ORACLE_SQL['structure_scores']}),
+passages AS (SELECT {CTE_CASES} AS cid, asked.*, ch.* EXCLUDE (doc_name), st.statement_type, st.units, chunk_index % 10 + 1 AS final_rank, lower(concat_ws(' ', {', '.join(f"coalesce({c}, '')" for c in columns.split(', '))})) AS search
+  FROM ch JOIN st USING (doc_name, chunk_index) JOIN asked USING (doc_name))"""
+
+
+def _gate_sql() -> str:
+    kw = "[" + ", ".join(f"{{'id': '{n}', 'k': {sql_list(k)}}}" for n, _, k in lx.CONCEPTS) + "]"
+
+    def said(rule: str, missing: str | None = None) -> str:
+        before, _, after = f"Rule Failed [{rule}]: {lx.GATE_REASONS[rule]}".partition("{}")
+        return quoted(before) if missing is None else f"{quoted(before)} || {missing} || {quoted(after)}"
+
+    return f"""
+WITH {_cases_sql()}, kw AS (SELECT {kw} AS kw),
+first AS (SELECT *, regexp_replace(text, {quoted(lx.PLACE_NUMBER.removeprefix('(?i)'))}, '', 'gi') AS clean FROM passages, kw WHERE final_rank <= context_limit),
+f AS (SELECT cid, any_value(qid) AS qid, bool_or(len(list_filter(terms, lambda t: contains(lower(text), t) OR contains(lower(table_title), t))) > 0) AS concept,
+  flatten(list(list_transform(list_filter(kw, lambda c: list_contains(ids, c.id) AND len(list_filter(c.k, lambda k: contains(search, k))) > 0), lambda c: c.id))) AS inputs,
+  bool_or(statement_type = explicit_statement OR contains(upper(section), explicit_statement)) AS statement, list(statement_type) AS statements, flatten(list(list_filter(wanted, lambda t: contains(search, t)))) AS met,
+  bool_or({sql_any('search', lx.PURPOSE_EVIDENCE)}) AS purpose, bool_or(len(list_filter(ys, lambda y: contains(search, y))) > 0) AS period,
+  bool_or(len(list_filter(regexp_extract_all(clean, {quoted(lx.NUMBER_IN_TEXT)}), lambda n: NOT list_contains(ys, n))) > 0 OR contains(clean, '$') OR contains(clean, '(')) AS value FROM first GROUP BY cid),
+g AS (SELECT f.*, asked.* EXCLUDE (qid), list_filter(ids, lambda c: NOT list_contains(inputs, c)) AS no_inputs, list_filter(targets, lambda s: NOT list_contains(statements, s)) AS no_statements, len(terms) > 0 OR len(ids) > 0 AS named FROM f JOIN asked USING (qid)),
+r AS (SELECT *, CASE WHEN named AND NOT concept THEN {said('Concept Rule', "CASE WHEN len(ids) > 0 THEN array_to_string(ids, ', ') ELSE 'requested concept' END")}
+  WHEN named AND requires_calculation AND len(ids) > 1 AND len(no_inputs) > 0 THEN {said('Calculation Inputs', "array_to_string(no_inputs, ', ')")}
+  WHEN explicit_statement <> 'ANY' AND NOT statement THEN {said('Statement Rule', 'explicit_statement')}
+  WHEN requires_calculation AND len(no_statements) > 0 THEN {said('Calculation Statements', "array_to_string(no_statements, ', ')")}
+  WHEN compares AND len(wanted) > 0 AND len(list_distinct(met)) < CASE WHEN len(wanted) <= 2 THEN 1 ELSE 2 END THEN {said('Comparison Rule')}
+  WHEN query_type = 'DOCUMENT_PURPOSE' AND NOT purpose THEN {said('Document Purpose Rule')}
+  WHEN len(ys) > 0 AND NOT period THEN {said('Period Rule', "array_to_string(ys, ', ')")}
+  WHEN query_type IN ('NUMERIC_LOOKUP', 'CALCULATION') AND NOT value THEN {said('Value Rule')} END AS failed FROM g)
+SELECT cid AS qid, CASE WHEN failed IS NULL THEN 'SUFFICIENT_EVIDENCE' ELSE 'WEAK_EVIDENCE' END AS gate_status, split_part(split_part(failed, '[', 2), ']', 1) AS rule,
+  coalesce(failed, CASE WHEN query_type = 'DOCUMENT_PURPOSE' THEN {quoted(lx.PURPOSE_PASSED)} WHEN compares THEN {quoted(lx.COMPARISON_PASSED)} ELSE {quoted(lx.ALL_PASSED)} END) AS said FROM r
+"""
+
+
+@query(_gate_sql())
+def gate_chunks(spark, sf_dir):
+    """The verdict on every ten chunks in a row of each question's filing."""
+    got = gate.gate(*gate_cases(spark, sf_dir))
+    rule = F.when(F.col("gate_status") == "WEAK_EVIDENCE", F.regexp_extract("gate_reason", r"\[(.*?)\]", 1))
+    return got.select("qid", "gate_status", rule.alias("rule"), F.col("gate_reason").alias("said"))
+
+
+def _notes_sql() -> str:
+    squeezed = "list_filter(list_transform(regexp_split_to_array(text, '\\r\\n|\\n|\\r'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x NOT IN ('', '[TABLE]', '[/TABLE]'))"
+    once = lambda x: f"list_filter({x}, lambda e, i: list_position({x}, e) = i)"
+    number = quoted(lx.NOTE_NUMBER)
+    return f"""
+WITH {_cases_sql()}, a AS (SELECT *, {squeezed} AS ls FROM passages), b AS (SELECT *, unnest(range(1, len(ls) + 1)) AS place FROM a), c AS (SELECT *, ls[place] AS line, lower(ls[place]) AS low FROM b),
+s AS (SELECT *, CASE WHEN len(list_filter(ys, lambda y: contains(low, y))) > 0 THEN 4 ELSE 0 END + CASE WHEN len(list_filter(terms, lambda t: contains(low, t))) > 0 THEN 5 ELSE 0 END
+  + CASE WHEN len(ids) > 0 AND contains(low, lower(metric)) THEN 3 ELSE 0 END + CASE WHEN regexp_matches(line, {number}) THEN 2 ELSE 0 END + CASE WHEN {sql_any('low', lx.EVIDENCE_WORDS)} THEN 1 ELSE 0 END AS score FROM c),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cid, final_rank ORDER BY score DESC, place) AS k FROM s WHERE score > 0) WHERE k <= 3),
+d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cid, page_num, line ORDER BY final_rank, k) AS d FROM k) WHERE d = 1),
+n AS (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY final_rank, k) AS note_no FROM d)
+SELECT cid AS qid, CAST(note_no AS INT) AS note_no, page_num, upper(chunk_type) AS evidence_type, line[1:500] AS line, CAST(score AS INT) AS score,
+  array_to_string({once("regexp_extract_all(line, '(?:^|[^0-9])(20[0-9]{2})(?:[^0-9]|$)', 1)")}, ', ') AS years, array_to_string({once(f"regexp_extract_all(line, {number})")}, ', ') AS values FROM n WHERE note_no <= 12
+"""
+
+
+@query(_notes_sql())
+def note_lines(spark, sf_dir):
+    """The evidence notes of every ten chunks in a row of each question's filing."""
+    asked, passages = gate_cases(spark, sf_dir)
+    return gate.evidence_notes(passages.join(asked.select("qid", "target_years", "terms", "concepts", "metric"), "qid"))
+
+
 def _passages(spark, sf_dir) -> DataFrame:
     return pipeline.evidence(analysed(spark, sf_dir), stored_chunks(spark, sf_dir))
 
