@@ -11,6 +11,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,6 +85,38 @@ def test_quality_rules(spark, odd, none):
     assert r.longest_repeat == 60 and r.covered_words == 120 and not r.kept
 
 
+def brute_verdict(text):
+    """covered_words, longest_repeat and kept, by comparing every pair of places."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    n, covered, longest = len(w), set(), 0
+    for i in range(n):
+        best = 0
+        for j in range(n):
+            if i != j and w[i] == w[j]:
+                k = 0
+                while max(i, j) + k < n and w[i + k] == w[j + k]:
+                    k += 1
+                best = max(best, k)
+        if best >= 8:
+            covered |= set(range(i, i + best))
+            longest = max(longest, best)
+    failed = n < 50 or 100 * brute_base(text)[4] > 50 * n
+    return len(covered), longest, not failed and len(covered) <= 0.5 * n and longest <= 0.35 * n
+
+
+def test_verdicts_equal_brute_force(spark):
+    rng, rows = random.Random(4), []
+    for i in range(60):
+        passage, rest = words(i, rng.randrange(5, 60), 10**6), words(500 + i, rng.randrange(20, 200), 30 + 10 * i)
+        at = rng.randrange(len(rest))
+        rows.append((i, " ".join(rest[:at] + passage + rest[at:] + passage * rng.randrange(0, 3))))
+    got = repetition.repetition_rules(docs_of(spark, rows)).collect()
+    assert {r.doc_id: (r.covered_words, r.longest_repeat, r.kept) for r in got} == {i: brute_verdict(t) for i, t in rows}
+    assert 10 < sum(r.kept for r in got) < 55
+    kept = repetition.keep_good(docs_of(spark, rows)).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [r for r in rows if brute_verdict(r[1])[2]]
+
+
 def test_quality_rules_of_the_sample(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for r in queries.op1_quality_rules(spark, SF).collect():
@@ -241,6 +274,16 @@ def test_shards(spark, odd, none):
     for _, rows in itertools.groupby(sorted(got, key=lambda r: r.shard), key=lambda r: r.shard):
         assert sorted(r.slot for r in rows) == list(range(sum(1 for r in got if r.shard == _)))
     assert sharding.byte_shards(none, 3).count() == 0
+    # the shard of each row of the sample by one prefix sum over all rows, and its place there
+    sample = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = sorted((r.doc_id, zlib.crc32((r.text or "").encode()), len((r.text or "").encode()) + 8) for r in sample.collect())
+    total, so_far, slots, want = sum(r[2] for r in rows), 0, collections.Counter(), {}
+    for i, _, size in rows:
+        shard = min(23, int((so_far + size / 2) * 24 / total))
+        want[i] = (shard, slots[shard])
+        slots[shard] += 1
+        so_far += size
+    assert {r.doc_id: (r.shard, r.slot) for r in sharding.byte_shards(sample.repartition(7), 24).collect()} == want
     even = docs_of(spark, [(i, "x" * (i % 50)) for i in range(2000)])
     sizes = collections.Counter()
     last = -1
@@ -300,6 +343,15 @@ def test_token_files(spark, odd, none, library):
         ids = [*library.encode(text, add_special_tokens=False).ids, 0]
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
+    files = [pq.ParquetFile(f) for f in sorted(pathlib.Path(path.removeprefix("file://")).glob("*.parquet"))]
+    groups = [f.metadata.row_group(k) for f in files for k in range(f.metadata.num_row_groups)]
+    for group in groups:
+        columns = [group.column(k) for k in range(group.num_columns)]
+        assert all(c.has_offset_index and c.has_column_index for c in columns)
+        assert "RLE_DICTIONARY" in columns[3].encodings and all("DELTA_BINARY_PACKED" in c.encodings for c in columns[:3])
+    where = token_files.read_token_files(spark, path).select("doc_id", "start", "n_tokens")
+    assert "ids" not in where._jdf.queryExecution().executedPlan().toString()
+    assert where.where("doc_id = 5").collect() == [r for r in where.collect() if r.doc_id == 5]
     path = scratch(spark, "tokens")
     token_files.write_token_files(none, path, queries.vocabulary())
     assert token_files.read_token_files(spark, path).count() == 0
