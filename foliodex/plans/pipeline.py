@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import analyze, fuse, gate, index
+from ..operators import analyze, answer, fuse, gate, index
 from ..sources.staging import staged
 
 INFO = ["question", "query_type", "concepts", "terms", "metric", "requires_calculation", "is_comparison", "explicit_statement", "inferred_statement", "target_statements", "target_years", "context_limit"]
@@ -48,6 +48,30 @@ def ask(questions: DataFrame, chunks: DataFrame, **options) -> DataFrame:
     return asked.select("qid", "doc_name", "question").join(verdict, "qid").join(kept, "qid", "left")
 
 
+def answer_questions(questions: DataFrame, chunks: DataFrame, provider: answer.AnswerProvider, **options) -> DataFrame:
+    """One row a question: gate_status, gate_reason, found, answer, page_num, sources with their locations, metrics, confidence, overall.
+
+    Only questions that pass the gate are put to the provider; the others, and replies that hold no answer, are not
+    found and have no confidence.
+    """
+    asked = staged(analyze.analyze(questions), "asked")
+    passages = staged(evidence(asked, chunks, **options), "passages")
+    verdict = staged(gate.gate(asked, passages), "verdict")
+    passed = verdict.where("gate_status = 'SUFFICIENT_EVIDENCE'").select("qid")
+    top = passages.where(F.col("final_rank") <= F.col("context_limit")).join(passed, "qid", "left_semi")
+    contexts = gate.render_context(top).join(asked.select("qid", "question"), "qid")
+    replies = staged(provider.replies(answer.prompts(contexts, gate.evidence_notes(top))), "replies")
+    parsed = staged(answer.parse_answers(replies, top), "parsed")
+    cited = parsed.select("qid", F.posexplode("sources").alias("at", "s")).select("qid", (F.col("at") + 1).alias("source_no"), "s.doc_name", "s.page_num", "s.evidence_text")
+    enriched = answer.enrich_sources(cited, top).select("qid", F.struct("source_no", "doc_name", "page_num", "evidence_text", "location").alias("s"))
+    sources = enriched.groupBy("qid").agg(F.sort_array(F.collect_list("s")).alias("sources"))
+    first = F.get("sources", F.lit(0))
+    best = answer.best_passages(top).join(sources.select("qid", first["location"].alias("location"), first["page_num"].alias("source_page")), "qid")
+    scores = answer.score_breakdown(answer.confidence(best)).select("qid", "confidence", "answer_support", "location_accuracy", "source_reliability", "overall")
+    said = parsed.select("qid", "found", "answer", "page_num", "metrics").join(sources, "qid", "left").join(scores, "qid", "left")
+    return asked.select("qid", "doc_name", "question").join(verdict, "qid").join(said, "qid", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
 def route_questions(questions: DataFrame, meta: DataFrame, threshold: float = 3.0) -> DataFrame:
     """(qid, question, doc_name, doc_match_score) for questions without a filing: the filings each is held against."""
     return fuse.route(fuse.match_scores(questions, meta), threshold).join(questions.select("qid", "question"), "qid")

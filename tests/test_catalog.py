@@ -3,7 +3,8 @@
 import duckdb
 import pytest
 
-from foliodex.plans import catalog, fixtures
+from foliodex.operators import answer
+from foliodex.plans import catalog, fixtures, pipeline
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,3 +44,30 @@ def test_every_ranked_passage_is_cited_and_matched(spark):
     got = {(r.qid, r.source_no): r for r in catalog.QUERIES["enrich_sources"](spark, SF).collect()}
     assert set(got) == set(ranked) and any(r.chunk_index >= 10 for r in ranked.values())
     assert all(r.doc_name == ranked[k].doc_name and r.overlap >= 0.5 for k, r in got.items())
+
+
+def test_questions_are_answered_from_their_passages(spark):
+    """Questions that pass the gate get the provider's reply, parsed, cited and scored; the others are never put to it."""
+    seen = []
+
+    class Provider(answer.TableProvider):
+        def replies(self, prompts):
+            seen.extend(prompts.collect())
+            return super().replies(prompts)
+
+    replies = [(q, f'ANSWER: figure {q}\nSOURCE: Passage 2 - "words of it"\nMETRICS:\nlabel: Sales | value: {q}' if q % 2 else "ANSWER: NOT_FOUND") for q in range(25)]
+    asked = catalog.questions(spark, SF)
+    chunks = catalog.stored_chunks(spark, SF)
+    got = {r.qid: r for r in pipeline.answer_questions(asked, chunks, Provider(spark.createDataFrame(replies, "qid long, reply string"))).collect()}
+    ranked = {(r.qid, r.final_rank): r for r in pipeline.evidence(asked, chunks).collect()}
+    passed = {q for q, r in got.items() if r.gate_status == "SUFFICIENT_EVIDENCE"}
+    assert len(got) == 25 and {r.qid for r in seen} == passed and any(q % 2 for q in passed)
+    for r in seen:
+        assert f"QUESTION: {got[r.qid].question}" in r.prompt and "Passage 1 | PRIMARY ANSWER-BEARING EVIDENCE" in r.prompt
+    for q, r in got.items():
+        assert r.found == (q in passed and q % 2 == 1)
+        if r.found:
+            assert r.answer == f"figure {q}" and r.metrics[0].label == "Sales" and 0.5 < r.overall <= 1 and r.confidence in (0.98, 0.95, 0.9)
+            assert r.page_num == ranked[q, 2].page_num and r.sources[0].doc_name == ranked[q, 2].doc_name
+        else:
+            assert r.answer is None and r.confidence is None and r.overall is None
