@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import analyze, answer, fuse, gate, index
@@ -75,3 +75,20 @@ def answer_questions(questions: DataFrame, chunks: DataFrame, provider: answer.A
 def route_questions(questions: DataFrame, meta: DataFrame, threshold: float = 3.0) -> DataFrame:
     """(qid, question, doc_name, doc_match_score) for questions without a filing: the filings each is held against."""
     return fuse.route(fuse.match_scores(questions, meta), threshold).join(questions.select("qid", "question"), "qid")
+
+
+def cross_filing(questions: DataFrame, chunks: DataFrame, meta: DataFrame, *, top_k: int = 12, threshold: float = 3.0) -> DataFrame:
+    """Ranked passages of (qid, question, doc_name) over filings: in the one that is named, else in those a question is routed to.
+
+    Each filing gives max(10, 2 * top_k) passages; the filing's match score is added to the rerank score (nothing for a named
+    one), and the top_k of a question are ranked over its filings, of equals by name and place.
+    """
+    named = questions.where("doc_name IS NOT NULL").select("qid", "question", "doc_name", F.lit(0.0).alias("doc_match_score"))
+    routed = route_questions(questions.where("doc_name IS NULL").select("qid", "question"), meta, threshold)
+    # a question's search in one filing is a question of its own; the pairs are written, so their numbers stay
+    pairs = staged(named.unionByName(routed.select(named.columns)).withColumn("pair", F.monotonically_increasing_id()), "pairs")
+    found = evidence(pairs.select(F.col("pair").alias("qid"), "doc_name", "question"), chunks, meta=meta, top_k=max(10, 2 * top_k))
+    back = found.withColumnRenamed("qid", "pair").drop("final_rank").join(pairs.select("pair", "qid", "doc_match_score"), "pair").drop("pair")
+    scored = back.withColumn("rerank_score", F.col("rerank_score") + F.col("doc_match_score"))
+    order = Window.partitionBy("qid").orderBy(F.desc("rerank_score"), "doc_name", "chunk_index")
+    return scored.withColumn("final_rank", F.row_number().over(order)).where(F.col("final_rank") <= top_k)

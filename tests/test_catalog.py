@@ -71,3 +71,19 @@ def test_questions_are_answered_from_their_passages(spark):
             assert r.page_num == ranked[q, 2].page_num and r.sources[0].doc_name == ranked[q, 2].doc_name
         else:
             assert r.answer is None and r.confidence is None and r.overall is None
+
+
+def test_cross_filing_ranks_over_the_routed_filings(spark):
+    chunks, meta = catalog.stored_chunks(spark, SF), catalog.meta(spark, SF)
+    rows = [(1, "What were the net sales of ACME3 in its 10-K of 2018?", None), (2, "How large is the inventory in millions?", "ACME4_2019_10K")]
+    asked = spark.createDataFrame(rows, "qid long, question string, doc_name string")
+    got = pipeline.cross_filing(asked, chunks, meta, top_k=12).collect()
+    routed = {(r.qid, r.doc_name): r.doc_match_score for r in pipeline.route_questions(asked.where("doc_name IS NULL"), meta).collect()} | {(2, "ACME4_2019_10K"): 0.0}
+    assert {q for q, _ in routed} == {1, 2} and {(r.qid, r.doc_name) for r in got} <= set(routed)
+    pairs = [(k, d, rows[q - 1][1]) for k, (q, d) in enumerate(sorted(routed))]
+    by = dict(enumerate(sorted(routed)))
+    each = pipeline.evidence(spark.createDataFrame(pairs, "qid long, doc_name string, question string"), chunks, meta=meta, top_k=24).collect()
+    want = sorted((by[r.qid][0], -round(r.rerank_score + routed[by[r.qid]], 6), r.doc_name, r.chunk_index) for r in each)
+    want = [x for q in (1, 2) for x in [w for w in want if w[0] == q][:12]]
+    assert sorted((r.qid, -round(r.rerank_score, 6), r.doc_name, r.chunk_index) for r in got) == want
+    assert [r.final_rank for r in sorted(got, key=lambda r: (r.qid, r.final_rank)) if r.qid == 2] == list(range(1, 1 + sum(r.qid == 2 for r in got)))
