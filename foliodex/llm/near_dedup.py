@@ -273,8 +273,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         rest = stored(_left_over(inside, signed, least_long, each).join(tested, ["a", "b"], "left_anti"), "rest")
         more = stored(confirmed(rest.where("a is not null"), signed, percent), "links")
         if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = components(links)
+            labels = components(more, known=labels)
         cut = rest.where("a is null").select(F.col("b").alias("band"))
         if each is None or cut.isEmpty():
             break

@@ -412,6 +412,50 @@ def test_components(spark):
     assert got == {i: 100 for i in range(100, 141)} | {1: 1, 2: 1}
 
 
+def joined_rows(spark, since):
+    """Rows that the joins of all executions after `since` made, and the last execution."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    runs, made, last = store.executionsList(), 0, since
+    for i in range(runs.size()):
+        k = runs.apply(i).executionId()
+        last = max(last, k)
+        if k > since:
+            values, nodes = store.executionMetrics(k), store.planGraph(k).allNodes()
+            for node in (nodes.apply(j) for j in range(nodes.size())):
+                found = (node.metrics().apply(j) for j in range(node.metrics().size()))
+                counts = [values.get(m.accumulatorId()) for m in found if "Join" in node.name() and m.name() == "number of output rows"]
+                made += sum(int(n.get().replace(",", "")) for n in counts if n.isDefined())
+    return made, last
+
+
+def test_links_of_a_group_are_not_joined_in_every_round(spark):
+    # one group: 500 members with 40 links each, and a path that takes many rounds
+    dense = [(i, 1000 + (7 * i + k) % 500) for i in range(500) for k in range(40)]
+    links = dense + [(1000 + i, 1001 + i) for i in range(500, 540)] + [(0, 1500)]
+    edges = spark.createDataFrame(links, "a long, b long")
+    last = joined_rows(spark, -1)[1]
+    got = {r.id: r.component for r in components.components(edges).collect()}
+    assert got == {i: 0 for link in links for i in link}
+    assert 0 < joined_rows(spark, last)[0] < 3 * len(links)
+
+
+def test_more_edges_join_known_components(spark):
+    rng = random.Random(8)
+    links = [(rng.randrange(200), rng.randrange(200)) for _ in range(130)]
+    of = lambda some: spark.createDataFrame(some, "a long, b long")
+    whole = sorted(components.components(of(links)).collect())
+    for k in (0, 60, 130):
+        assert sorted(components.components(of(links[k:]), known=components.components(of(links[:k]))).collect()) == whole
+    up = {}
+    for a, b in links:
+        if a != b:
+            x, y = up.setdefault(a, {a}), up.setdefault(b, {b})
+            x |= y
+            up |= dict.fromkeys(x, x)
+    assert {r.id: r.component for r in whole} == {i: min(group) for i, group in up.items()}
+
+
 # 7 ---------------------------------------------------------------------------------------------------------------
 
 
